@@ -7,12 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, sharding
+from . import decontaminate, exact_dedup, ngram_jaccard, sharding
 from .store import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rule = ngram_jaccard.Threshold(width=4, num=85, den=100)
+    return ngram_jaccard.jaccard_components(read_table(spark, sf_dir, "documents"), rule).drop("set_id")
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(read_table(spark, sf_dir, "documents"))
 
@@ -34,7 +39,7 @@ def op10_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_exact_dedup, op8_decontaminate, op10_hash_tree_sharding)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_ngram_jaccard, op4_exact_dedup, op8_decontaminate, op10_hash_tree_sharding)}
 
 ORACLE_SQL: dict[str, str] = {
     "op4_exact_dedup": r"""
