@@ -37,13 +37,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .store import stage
+from .store import limited_semi, stage
 from .wordhash import U, mix, salt, shingle_sets
 
 SEEDS = 6
 SKETCH_LONGS = 8
-#: Ids that are broadcast at most; more are joined by sort-merge.
-BROADCAST_IDS = 1_000_000
 #: Members of a star that one task verifies together.
 STAR_SPLIT = 1_000
 
@@ -195,12 +193,6 @@ def _screen(pairs: DataFrame, sketches: DataFrame, rule: Threshold) -> DataFrame
     return joined.where(_near(rule)).select("u", "v")
 
 
-def limited_semi(rows: DataFrame, ids: DataFrame, on: str, how: str = "left_semi") -> DataFrame:
-    """Semi or anti join to ``ids``: broadcast up to BROADCAST_IDS rows, else sort-merge."""
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return rows.join(F.broadcast(ids) if few else ids, on, how)
-
-
 def _texts(docs: DataFrame, sig: DataFrame, sids: DataFrame, rule: Threshold, key: str, text: str) -> DataFrame:
     """(sid, text), one text for each wanted set."""
     wanted = limited_semi(sig.select("doc_id", "sid"), sids, "sid").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
