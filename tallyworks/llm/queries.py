@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, ngram_jaccard, quality, sharding
+from . import decontaminate, exact_dedup, language_id, ngram_jaccard, quality, sharding, toxicity
 from .store import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,10 +18,19 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.jaccard_components(read_table(spark, sf_dir, "documents"), rule).drop("set_id")
 
 
+def op2_compression_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(read_table(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(read_table(spark, sf_dir, "documents"))
 
 
+def op5_cnn_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_contamination(
         read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")
@@ -44,7 +53,7 @@ def op10_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_ngram_jaccard, op4_exact_dedup, op8_decontaminate, op9_quality_rules, op10_hash_tree_sharding)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_ngram_jaccard, op2_compression_language, op4_exact_dedup, op5_cnn_toxicity, op8_decontaminate, op9_quality_rules, op10_hash_tree_sharding)}
 
 ORACLE_SQL: dict[str, str] = {
     "op4_exact_dedup": r"""
