@@ -142,21 +142,25 @@ def items_digest(items: list[int]) -> str:
 
 def clean(
     docs: DataFrame, benchmark: DataFrame, width: int = 10, text: str = "text",
-    item: str = "item_id", item_text: str = "text", part_bytes: int = PART_BYTES,
+    item: str = "item_id", item_text: str = "text", part_bytes: int = PART_BYTES, least_hit: int = 8,
 ) -> DataFrame:
-    """The rows of ``docs`` without a hit, all columns kept; no shuffle."""
+    """The rows of ``docs`` with fewer than ``least_hit`` hit words, columns unchanged; no shuffle.
+
+    An item of two or three words is a common phrase, and its window alone condemns no text.
+    """
     spark = docs.sparkSession
     parts = [spark.sparkContext.broadcast(p) for p in _parts(benchmark, item, item_text, part_bytes)]
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole = build(parts[0].value, width) if len(parts) == 1 else None
         for batch in batches:
-            kept = [True] * batch.num_rows
+            found: list[list] = [[] for _ in range(batch.num_rows)]
             values = batch.column(batch.schema.get_field_index(text))
             for part in parts:
                 auto = whole if len(parts) == 1 else build(part.value, width)
-                if auto is not None:
-                    kept = [k and not scan(v.as_py(), [auto])[1] for k, v in zip(kept, values, strict=True)]
-            yield batch.filter(pa.array(kept, pa.bool_()))
+                for own, value in zip(found, values if auto is not None else [], strict=False):
+                    own += scan(value.as_py(), [auto])[1]
+            hit = [sum(b - a for a, b in hit_runs(own)) for own in found]
+            yield batch.filter(pa.array([n < least_hit for n in hit], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)

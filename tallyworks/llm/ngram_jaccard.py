@@ -300,3 +300,18 @@ def jaccard_components(docs: DataFrame, rule: Threshold = Threshold(), key: str
     return sig.select("doc_id", "n_shingles", "sid").join(of_set, "sid", "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.col("sid").alias("set_id")
     )
+
+
+def keep_one(docs: DataFrame, rule: Threshold = Threshold(), key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` with the smallest key of their component, columns unchanged.
+
+    Of rows that repeat a key one stays; rows without a key stay.
+    """
+    found = stage(jaccard_components(docs, rule, key, text).where("doc_id IS NOT NULL"), "jaccard-found")
+    dropped = stage(found.where("doc_id <> component_id").select("doc_id").distinct(), "jaccard-dropped")
+    again = stage(found.groupBy("doc_id").count().where("count > 1").select("doc_id"), "jaccard-again")
+    kept = limited_semi(docs, dropped.select(F.col("doc_id").alias(key)), key, "left_anti")
+    if again.isEmpty():
+        return kept
+    again = again.select(F.col("doc_id").alias(key))
+    return limited_semi(kept, again, key, "left_anti").union(limited_semi(kept, again, key).dropDuplicates([key]))

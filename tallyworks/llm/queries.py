@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, exact_dedup, language_id, ngram_jaccard, quality, sharding, toxicity
+from . import chat_format, decontaminate, exact_dedup, language_id, mixing, ngram_jaccard, quality, sharding, toxicity
 from .store import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +48,17 @@ def op5_cnn_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+def op7_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    rated, fit = mixing.rate_documents(docs, docs.select("doc_id", "lang"), "lang")
+    names = F.array(*[F.lit(d) for d in fit.domains]) if fit.domains else F.array(F.lit(None).cast("string"))
+    best = F.array_position("p", F.array_max("p")).cast("int")
+    return rated.select(
+        "doc_id", "tokens", F.get(names, best - 1).alias("domain"), F.array_max("p").alias("posterior"), "rate",
+        mixing.copies(F.col("rate"), F.col("doc_id")).alias("copies"),
+    )
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_contamination(
         read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")
@@ -70,7 +81,7 @@ def op10_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_ngram_jaccard, op2_compression_language, op3_chat_format, op4_exact_dedup, op5_cnn_toxicity, op8_decontaminate, op9_quality_rules, op10_hash_tree_sharding)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_ngram_jaccard, op2_compression_language, op3_chat_format, op4_exact_dedup, op5_cnn_toxicity, op7_soft_mixing, op8_decontaminate, op9_quality_rules, op10_hash_tree_sharding)}
 
 ORACLE_SQL: dict[str, str] = {
     "op3_chat_format": r"""

@@ -15,6 +15,7 @@ import pyarrow as pa
 U = np.uint64
 #: Bytes of text handled at once (a longer single text is handled alone).
 CHUNK_BYTES = 1 << 20
+CHUNK_ROWS = 1 << 10
 _P = U(0x9E3779B97F4A7C15 | 1)
 _P_INVERSE = U(pow(int(_P), -1, 1 << 64))
 
@@ -69,7 +70,7 @@ def chunks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     row = 0
     while row < n:
         end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + CHUNK_BYTES, "right")) - 1)
-        end = min(end, n)
+        end = min(end, n, row + CHUNK_ROWS)
         own = offsets[row : end + 1]
         yield row, data[own[0] : own[-1]], own - own[0]
         row = end
