@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, exact_dedup, language_id, mixing, ngram_jaccard, quality, sharding, toxicity
+from . import chat_format, decontaminate, exact_dedup, language_id, licenses, mixing, ngram_jaccard, quality, sharding, toxicity
 from .store import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +48,10 @@ def op5_cnn_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+def op6_license_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(read_table(spark, sf_dir, "documents"))
+
+
 def op7_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     rated, fit = mixing.rate_documents(docs, docs.select("doc_id", "lang"), "lang")
@@ -81,7 +85,7 @@ def op10_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_ngram_jaccard, op2_compression_language, op3_chat_format, op4_exact_dedup, op5_cnn_toxicity, op7_soft_mixing, op8_decontaminate, op9_quality_rules, op10_hash_tree_sharding)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_ngram_jaccard, op2_compression_language, op3_chat_format, op4_exact_dedup, op5_cnn_toxicity, op6_license_bands, op7_soft_mixing, op8_decontaminate, op9_quality_rules, op10_hash_tree_sharding)}
 
 ORACLE_SQL: dict[str, str] = {
     "op3_chat_format": r"""
