@@ -1,13 +1,16 @@
 """Sharding by a hierarchical weighted hash tree.
 
-A document descends region -> rack -> shard. At every node each child draws
-``-ln(u) / weight`` from a hash of (document key, child) and the smallest draw wins, so a
-child is chosen in proportion to its weight. Growing one child's weight can only lower that
-child's draw: rows move into the grown subtree and nowhere else, level by level.
+A document descends region -> rack -> shard. Every shard has a draw ``-ln(u) / weight`` from a
+hash of (document key, shard); the draw of a rack or region is the earliest of its shards'
+draws, which is again an exponential draw with the weight of the whole subtree. At each level
+the child with the smallest draw wins, so subtrees are chosen in proportion to their weights.
+A heavier or new shard only lowers its own draw and those above it: rows move into that shard
+and nowhere else, and on the way only subtrees whose weights changed are touched. (With a
+separate hash for each node, rows that enter a grown region would spread over all of it.)
 
 Edge cases: a null key hashes like any constant and gets one defined shard; a null text has
 size ``overhead`` and CRC 0; repeated rows share a shard and get different slots; an empty
-table gives an empty result; other columns pass through untouched by the tree itself.
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -43,54 +46,58 @@ class Tree:
     def leaf_weights(self) -> list[float]:
         return list(self.weights or [1.0] * self.shards)
 
-    def levels(self) -> list[dict[int, float]]:
-        """Node weights of the regions, racks and shards."""
-        out: list[dict[int, float]] = []
-        for span in (self.shards_per_rack * self.racks_per_region, self.shards_per_rack, 1):
-            level: dict[int, float] = {}
-            for shard, weight in enumerate(self.leaf_weights()):
-                level[shard // span] = level.get(shard // span, 0.0) + weight
-            out.append(level)
-        return out
-
-
-def _draw(key: Column, level: int, child: Column, weight: Column) -> Column:
-    bits = F.shiftrightunsigned(F.xxhash64(key, F.lit(level), child), 11)
-    u = (bits.cast("double") + F.lit(0.5)) / F.lit(float(1 << 53))
-    return -F.log(u) / weight
-
-
-def _drawer(key: Column, level: int, weights: Column):
-    return lambda c: F.struct(_draw(key, level, c, F.element_at(weights, c + F.lit(1))).alias("d"), c.alias("c"))
-
-
-def shard_of(key: Column, tree: Tree) -> Column:
-    """The shard (int) that ``key`` descends to."""
-    fans = (None, tree.racks_per_region, tree.shards_per_rack)
-    node: Column | None = None
-    for level, (weights, fan) in enumerate(zip(tree.levels(), fans, strict=True)):
-        table = F.array(*[F.lit(weights[i]) for i in sorted(weights)])
-        if node is None:
-            children = F.array(*[F.lit(i) for i in sorted(weights)])
-        else:
-            first = node * F.lit(fan)
-            last = F.least(first + F.lit(fan - 1), F.lit(len(weights) - 1))
-            children = F.sequence(first, last)
-        node = F.array_min(F.transform(children, _drawer(key, level, table)))["c"]
+    def spans(self) -> tuple[int, int, int]:
+        """Shards below a region, a rack and a shard."""
+        return (self.shards_per_rack * self.racks_per_region, self.shards_per_rack, 1)
+
+    def grown(self, weight: float = 1.0) -> Tree:
+        """The tree with one more shard at its end."""
+        return Tree(self.shards + 1, self.shards_per_rack, self.racks_per_region, (*self.leaf_weights(), weight))
+
+
+def draws(key: Column, tree: Tree) -> Column:
+    """The draw of every shard, as an array. It depends on the key, the shard and its weight only."""
+
+    def draw(shard: Column, weight: Column) -> Column:
+        u = (F.shiftrightunsigned(F.xxhash64(key, shard), 11).cast("double") + F.lit(0.5)) / F.lit(float(1 << 53))
+        return -F.log(u) / weight
+
+    weights = F.array(*[F.lit(float(w)) for w in tree.leaf_weights()])
+    return F.transform(weights, lambda w, shard: draw(shard, w))
+
+
+def descend(drawn: str, tree: Tree) -> Column:
+    """The shard (int) reached over the array column ``drawn`` of at least ``tree.shards`` draws.
+
+    Hold the draws in a column of their own: expressions inside a lambda run for every element.
+    """
+    own = F.slice(drawn, 1, tree.shards)
+    node, above = F.lit(0), tree.shards
+    for span in tree.spans():
+        first = node * F.lit(above // span if above != tree.shards else 0)
+        count = -(-above // span)
+        last = F.least(first + F.lit(count - 1), F.lit(-(-tree.shards // span) - 1))
+        node = F.array_min(F.transform(F.sequence(first, last), _earliest(own, span)))["c"]
+        above = span
     return node.cast("int")
 
 
+def _earliest(own: Column, span: int):
+    return lambda c: F.struct(F.array_min(F.slice(own, c * F.lit(span) + F.lit(1), span)).alias("d"), c.alias("c"))
+
+
 def assign(docs: DataFrame, tree: Tree, key: str = "doc_id", text: str = "text", overhead: int = 16) -> DataFrame:
-    """Size, CRC and shard of each row, all inside code that Spark compiles; no shuffle."""
-    body = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
-    grown = Tree(tree.shards + 1, tree.shards_per_rack, tree.racks_per_region, tuple([*tree.leaf_weights(), 1.0]))
-    return docs.select(
+    """Size, CRC and shard of each row, before and after growth by one shard; no shuffle."""
+    body, grown = F.coalesce(F.col(text).cast("binary"), F.lit(b"")), tree.grown()
+    drawn = docs.select(
         F.col(key),
         (F.octet_length(body) + F.lit(overhead)).cast("long").alias("size"),
         F.crc32(body).cast("long").alias("text_crc32"),
         F.lit("key").alias("law"),
-        shard_of(F.col(key), tree).alias("shard"),
-        shard_of(F.col(key), grown).alias("grown_shard"),
+        draws(F.col(key), grown).alias("_draws"),
+    )
+    return drawn.select(
+        key, "size", "text_crc32", "law", descend("_draws", tree).alias("shard"), descend("_draws", grown).alias("grown_shard")
     )
 
 
@@ -99,7 +106,8 @@ def number_slots(rows: DataFrame, tree: Tree, key: str = "doc_id", buckets: int
 
     A shard's rows are dealt into ``buckets`` parts by a hash, so no task gets a whole shard.
     Counts of the parts (at most shards x buckets rows, hence the broadcast) give each part
-    its first slot; ``row_number`` inside the part gives the rest.
+    its first slot; ``row_number`` inside the part gives the rest. (A left join, as an inner
+    one would push a null check on the shard, and with it all draws, below the projections.)
     """
     dealt = rows.withColumn("_part", F.pmod(F.xxhash64(F.col(key), F.lit("slot")), F.lit(buckets)).cast("int"))
     counts = dealt.groupBy("shard", "_part").agg(F.count(F.lit(1)).alias("_n"))
@@ -108,7 +116,7 @@ def number_slots(rows: DataFrame, tree: Tree, key: str = "doc_id", buckets: int
     within = Window.partitionBy("shard", "_part").orderBy(key, "text_crc32", "size")
     numbered = dealt.withColumn("_i", F.row_number().over(within))
     return (
-        numbered.join(F.broadcast(first), ["shard", "_part"])
+        numbered.join(F.broadcast(first), ["shard", "_part"], "left")
         .withColumn("slot", (F.col("_first") + F.col("_i") - 1).cast("long"))
         .drop("_part", "_first", "_i")
     )
