@@ -65,6 +65,8 @@ class DomainModel:
     bias: np.ndarray
 
     def posteriors(self, x: np.ndarray) -> np.ndarray:
+        if not self.domains:
+            return np.zeros((len(x), 0))
         z = x @ self.weights + self.bias
         z = np.exp(z - z.max(axis=1, keepdims=True))
         return z / z.sum(axis=1, keepdims=True)
@@ -243,9 +245,9 @@ def mix_documents(docs: DataFrame, table: DataFrame, label: str, power: float =
     Posteriors are recomputed beside the rows, so whole texts are not shuffled.
     """
     model = fit_domains(docs, table, label, key=key)
-    members = memberships(docs, model, key)
     if not model.domains:
         return docs
+    members = memberships(docs, model, key)
     now = _sum_over(members, np.zeros((0, len(model.domains))))[0]
     fit = fit_rates(members, model.domains, tempered(dict(zip(model.domains, now, strict=True)), power))
     shared, path, at = docs.sparkSession.sparkContext.broadcast(model), fit.path, docs.schema.fieldNames().index("text")
