@@ -7,6 +7,7 @@ import re
 from datetime import datetime, timedelta
 from decimal import Decimal
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -115,8 +116,6 @@ def metadata_contains(column: str, wanted: dict) -> Column:
             out = out & (hit if is_kind is None else hit & ~is_kind.isin("STRING", "BOOLEAN"))
         return F.coalesce(out, F.lit(False))
 
-    import pandas as pd
-
     @F.pandas_udf("boolean")
     def contains(texts: pd.Series) -> pd.Series:
         target = decode_json(json.dumps(wanted))
