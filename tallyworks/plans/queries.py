@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import claim, listing, messaging, stats, transitions, uniqueness, upkeep, workflow
-from ..sources.ledger import AS_OF, SUBSCRIPTIONS, duck_rule, duck_subscriptions, tables
+from ..operators import claim, compose, listing, messaging, stats, transitions, uniqueness, upkeep, workflow
+from ..sources.ledger import AS_OF, SUBSCRIPTIONS, duck_rule, duck_subscriptions, subscriptions, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -578,6 +578,67 @@ def queue_limits_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upkeep.upsert_queues(queues, changes)
 
 
+@register(
+    f"""SELECT (SELECT count(*) FROM clients WHERE expires_at > {NOW}) AS live_clients,
+      (SELECT count(*) FROM jobs WHERE state = 'running' AND attempted_by IS NULL) AS leased, (SELECT count(*) FROM jobs) AS jobs""", "clients", "jobs",
+)
+def ledger_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    jobs = tables(spark, sf_dir, "jobs").agg(
+        F.count_if((F.col("state") == "running") & F.col("attempted_by").isNull()).alias("leased"), F.count(F.lit(1)).alias("jobs")
+    )
+    live = tables(spark, sf_dir, "clients").agg(F.count_if(F.col("expires_at") > claim.at(AS_OF)).alias("live_clients"), F.lit(1).alias("one"))
+    return live.join(jobs.withColumn("one", F.lit(1)), "one").drop("one")
+
+
+@register("SELECT id, attempt % 3 AS step, id * 2 AS cursor FROM jobs WHERE state = 'running' AND attempted_by IS NOT NULL AND id % 4 > 0", "jobs")
+def progress_recorded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    jobs = tables(spark, sf_dir, "jobs")
+    stale = F.when(F.col("id") % 4 == 0, 1).otherwise(0)  # reports of a fence that has passed
+    reports = jobs.select("id", "attempted_by", (F.col("fence") - stale).alias("fence"), "attempt", (F.col("attempt") % 3).alias("step"), (F.col("id") * 2).alias("cursor"))
+    return transitions.record_progress(jobs, reports)
+
+
+@register(
+    f"""WITH {INCOMING}, done AS (SELECT *, row_number() OVER (PARTITION BY kind, unique_key ORDER BY finalized_at DESC, id DESC) AS rn
+      FROM jobs WHERE state IN {DONE} AND unique_key IS NOT NULL)
+    SELECT i.seq % 50 AS batch_id, count(*) AS done, count(*) FILTER (d.state <> 'completed') AS failed
+    FROM incoming i JOIN done d USING (kind, unique_key) WHERE rn = 1 GROUP BY i.seq % 50""", "jobs",
+)
+def batch_finished_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    jobs = tables(spark, sf_dir, "jobs")
+    incoming = jobs.where("unique_key IS NOT NULL AND id % 2 = 1").select(F.col("id").alias("seq"), "kind", "unique_key", (F.col("id") % 50).alias("batch_id"))
+    found = uniqueness.finished_duplicates(incoming, listing.history(jobs), ("completed", "canceled", "discarded"))
+    return compose.finished_duplicates_of_batch(found, incoming)
+
+
+@register("SELECT name, pattern, kind, queue, ordered FROM subscriptions WHERE name NOT IN ('all', 'exact') UNION ALL SELECT 'all', 'ev.#', 'audit', 'q3', true", "subscriptions")
+def subscription_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = subscriptions(spark).where("name <> 'exact'")
+    return compose.upsert(known, spark.createDataFrame([("all", "ev.#", "audit", "q3", True)], known.schema), "name")
+
+
+@register("SELECT id FROM jobs WHERE state = 'discarded' AND id % 3 = 1 ORDER BY id LIMIT 40", "jobs")
+def replay_discarded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    jobs = tables(spark, sf_dir, "jobs")
+    deliveries = jobs.select("id", F.concat(F.lit("s"), (F.col("id") % 3).cast("string")).alias("subscription"))
+    return compose.replay(listing.history(jobs), deliveries, "s1", 40).select("id")
+
+
+@register(
+    """SELECT id, list_sort(list_filter(n, lambda x: NOT list_contains(o, x))) AS added, list_sort(list_filter(o, lambda x: NOT list_contains(n, x))) AS removed
+    FROM (SELECT id, coalesce(tags, []) AS o, ['t1', 'b' || CAST(id % 7 AS VARCHAR)] AS n FROM jobs) x""", "jobs",
+)
+def tag_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    jobs = tables(spark, sf_dir, "jobs").withColumn("new", F.array(F.lit("t1"), F.concat(F.lit("b"), (F.col("id") % 7).cast("string"))))
+    change = jobs.select("id", compose.tag_changes(F.col("tags"), F.col("new")).alias("c"))
+    return change.select("id", F.array_sort("c.added").alias("added"), F.array_sort("c.removed").alias("removed"))
+
+
+@register("SELECT id, CASE kind WHEN 'k1' THEN 'mail' WHEN 'k3' THEN 'export' ELSE kind END AS kind FROM jobs", "jobs")
+def kind_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compose.apply_kind_aliases(tables(spark, sf_dir, "jobs"), {"k1": "mail", "k3": "export"}).select("id", "kind")
+
+
 @register()
 def cron_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     specs = [("quarter", "*/15 * * * *"), ("weekdays", "0 9 * * MON-FRI"), ("chicago", "CRON_TZ=America/Chicago 30 1 * * *"), ("days", "0 12 13 * FRI")]
