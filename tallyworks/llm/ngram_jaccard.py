@@ -12,9 +12,10 @@ near the upper edge, the next one. A block's 64-bit XOR is one join key.
   next seed, so any two similar sets share a seed at which one of them was regular.
 * Equal sets sign alike and are one class from the start, whatever their number.
 * Candidates are stars, not pairs: each set of a bucket meets the bucket's smallest set,
-  first only the one it shares most keys with. Links contract into components, and only
-  buckets that still hold several components are joined pairwise, behind the Hamming
-  bound of a second, 512-bit sketch. After that round every two sets of a bucket were
+  first only the one it shares most keys with. Links contract into components; buckets that
+  hold several of these meet around other members for a few rounds, and what then still
+  holds several is joined pairwise, behind the Hamming bound of a second, 512-bit sketch.
+  After that round every two sets of a bucket were
   either compared or are in one component already, so no link is lost.
 * Links are verified on the whole sets. Texts of a popular star are salted.
 
@@ -36,14 +37,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
-from .store import limited_semi, stage
+from .components import components, merged
+from .store import limited_semi, release, small, stage
 from .wordhash import U, mix, salt, shingle_sets
 
 SEEDS = 6
 SKETCH_LONGS = 8
 #: Members of a star that one task verifies together.
 STAR_SPLIT = 1_000
+#: Sketches and pairs that are broadcast at most; more are joined by sort-merge.
+BROADCAST_ROWS = 300_000
+#: Rounds of stars around other members, before the pairwise round.
+HUB_ROUNDS = 3
 
 
 @dataclass(frozen=True)
@@ -187,10 +192,9 @@ def _near(rule: Threshold) -> Column:
 
 
 def _screen(pairs: DataFrame, sketches: DataFrame, rule: Threshold) -> DataFrame:
-    a = sketches.select(*[F.col(c).alias(c) for c in sketches.columns]).alias("a")
-    b = sketches.select(*[F.col(c).alias(c) for c in sketches.columns]).alias("b")
+    a, b = (small(sketches.select("*"), BROADCAST_ROWS).alias(x) for x in "ab")
     joined = pairs.join(a, F.col("u") == F.col("a.sid")).join(b, F.col("v") == F.col("b.sid"))
-    return joined.where(_near(rule)).select("u", "v")
+    return joined.where(_near(rule)).select("u", "v", "shared")
 
 
 def _texts(docs: DataFrame, sig: DataFrame, sids: DataFrame, rule: Threshold, key: str, text: str) -> DataFrame:
@@ -207,7 +211,12 @@ def _texts(docs: DataFrame, sig: DataFrame, sids: DataFrame, rule: Threshold, ke
                 yield pa.RecordBatch.from_arrays([pa.array(ids), batch.column(1).slice(row, len(sets))], names=["sid", "text"])
 
     found = stage(rows.mapInArrow(named, "sid long, text string"), "jaccard-texts")
-    return found
+    release(ids)
+    if found.count() == sids.count():
+        return found
+    once = stage(found.join(small(sids), "sid", "left_semi").dropDuplicates(["sid"]), "jaccard-texts")  # keys repeat
+    release(found)
+    return once
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, rule: Threshold) -> DataFrame:
@@ -216,15 +225,11 @@ def _verify(pairs: DataFrame, texts: DataFrame, rule: Threshold) -> DataFrame:
     v's texts travel to u's; a u of many pairs is dealt out in parts of about STAR_SPLIT.
     """
     pairs = stage(pairs, "jaccard-pairs")
-    one = texts.groupBy("sid").agg(F.first("text").alias("text"))
     stars = pairs.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / F.lit(STAR_SPLIT)).cast("int").alias("parts"))
-    members = (
-        pairs.join(stars, "u")
-        .withColumn("part", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int"))
-        .join(one, F.col("v") == F.col("sid"))
-        .select("u", "part", "v", F.lit(1).alias("role"), "text")
-    )
-    centres = stars.join(one, F.col("u") == F.col("sid")).select(
+    stars = stage(stars, "jaccard-centres")
+    dealt = pairs.join(small(stars, BROADCAST_ROWS), "u").withColumn("part", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int"))
+    members = texts.join(small(dealt, BROADCAST_ROWS), F.col("v") == F.col("sid")).select("u", "part", "v", F.lit(1).alias("role"), "text")
+    centres = texts.join(small(stars, BROADCAST_ROWS), F.col("u") == F.col("sid")).select(
         "u", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("u").alias("v"), F.lit(0).alias("role"), "text"
     )
     together = centres.union(members).repartition("u", "part").sortWithinPartitions("u", "part", "role", "v")
@@ -245,38 +250,82 @@ def _verify(pairs: DataFrame, texts: DataFrame, rule: Threshold) -> DataFrame:
                             out[1].append(vs[i])
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["u", "v"])
 
-    return stage(together.mapInArrow(compare, "u long, v long"), "jaccard-links")
+    links = stage(together.mapInArrow(compare, "u long, v long"), "jaccard-links")
+    release(pairs, stars)
+    return links
+
+
+def _shared_buckets(sig: DataFrame) -> DataFrame:
+    """(key, sid) of the keys that two different sets share.
+
+    Copies of a set are left out first, so a count tells shared keys and packs well; only
+    then are the rows of these keys brought together.
+    """
+    first = sig.groupBy("sid").agg(F.min("doc_id").alias("first"))
+    copies = stage(sig.select("doc_id", "sid").join(first, "sid").where("doc_id <> first").select("doc_id", "sid").distinct(), "jaccard-copies")
+    rows = limited_semi(sig, copies, ["doc_id", "sid"], "left_anti").select(F.explode("keys").alias("key"), "sid")
+    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    buckets = stage(rows.join(shared, "key").distinct(), "jaccard-buckets")
+    release(copies)
+    return buckets
 
 
 def link_sets(docs: DataFrame, sig: DataFrame, rule: Threshold, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(node, root) of the sets that are linked to another set."""
-    rows = sig.select(F.explode("keys").alias("key"), "sid")
-    shared = rows.groupBy("key").agg(F.min("sid").alias("hub"), F.max("sid").alias("last")).where("hub < last").select("key", "hub")
-    buckets = stage(rows.join(shared, "key").select("key", "sid", "hub").distinct(), "jaccard-buckets")
+    buckets = _shared_buckets(sig)
     sids = stage(buckets.select("sid").distinct(), "jaccard-sids")
     sketches = stage(
         limited_semi(sig, sids, "sid").select("sid", F.col("n_shingles").alias("n"), *_SKETCH).dropDuplicates(["sid"]), "jaccard-sketches"
     )
     texts = _texts(docs, sig, sids, rule, key, text)
 
-    stars = buckets.where("sid <> hub").groupBy("hub", "sid").agg(F.count(F.lit(1)).alias("shared"))
-    stars = stage(_screen(stars.select(F.col("hub").alias("u"), F.col("sid").alias("v"), "shared"), sketches, rule).join(
-        stars.select(F.col("hub").alias("u"), F.col("sid").alias("v"), "shared"), ["u", "v"]), "jaccard-stars")
-    best = stars.groupBy("v").agg(F.max_by("u", F.struct("shared", "u")).alias("u")).select("u", "v")
-    links = _verify(best, texts, rule)
-    root = components(links)
-
-    links = links.union(_verify(_apart(stars.select("u", "v"), root).join(best, ["u", "v"], "left_anti"), texts, rule))
-    root = components(links)
+    hubs = buckets.groupBy("key").agg(F.min("sid").alias("u"))  # one row a bucket
+    stars = buckets.join(hubs, "key").where("sid <> u").groupBy("u", F.col("sid").alias("v")).agg(F.count(F.lit(1)).alias("shared"))
+    stars = stage(_screen(stage(stars, "jaccard-stars"), sketches, rule), "jaccard-screened")
+    tested = stars.groupBy("v").agg(F.max_by("u", F.struct("shared", "u")).alias("u")).select("u", "v")
+    links = _verify(tested, texts, rule)
+    root = stage(merged(links), "jaccard-roots")
+
+    more = _apart(stars.select("u", "v"), root).join(tested, ["u", "v"], "left_anti")
+    tested, links = tested.union(more), links.union(_verify(more, texts, rule))
+    root = stage(merged(links), "jaccard-roots")
+
+    for turn in range(HUB_ROUNDS):
+        before, buckets = buckets, _open(buckets, root)
+        release(before)
+        hubs = buckets.groupBy("key").agg(F.min_by(F.struct("sid", "comp"), F.xxhash64("sid", "key", F.lit(turn))).alias("hub"))
+        met = buckets.join(hubs, "key").where(F.col("comp") != F.col("hub.comp"))
+        pairs = met.select(F.least("sid", "hub.sid").alias("u"), F.greatest("sid", "hub.sid").alias("v")).distinct()
+        pairs = stage(_screen(pairs.withColumn("shared", F.lit(0)), sketches, rule).select("u", "v"), "jaccard-met")
+        found = _verify(_untested(pairs, tested), texts, rule)
+        tested = tested.union(pairs)
+        if found.isEmpty():
+            break
+        links = links.union(found)
+        root = stage(merged(links), "jaccard-roots")
 
-    mixed = buckets.join(root, F.col("sid") == F.col("node"), "left").select("key", "sid", F.coalesce("root", "sid").alias("comp"))
-    open_keys = mixed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key")
-    left = stage(mixed.join(open_keys, "key").join(sketches, "sid"), "jaccard-open")
+    left = stage(_open(buckets, root).join(small(sketches, BROADCAST_ROWS), "sid"), "jaccard-open")
     a, b = left.alias("a"), left.alias("b")
     crossing = (F.col("a.key") == F.col("b.key")) & (F.col("a.sid") < F.col("b.sid")) & (F.col("a.comp") != F.col("b.comp"))
     pairs = a.join(b, crossing & _near(rule)).select(F.col("a.sid").alias("u"), F.col("b.sid").alias("v")).distinct()
-    pairs = pairs.join(stars.select("u", "v"), ["u", "v"], "left_anti")
-    return components(links.union(_verify(pairs, texts, rule)))
+    found = components(links.union(_verify(_untested(pairs, tested), texts, rule)))
+    release(texts, left)
+    return found
+
+
+def _open(buckets: DataFrame, root: DataFrame) -> DataFrame:
+    """(key, sid, comp) of the keys whose sets are in several components."""
+    mixed = buckets.join(small(root), F.col("sid") == F.col("node"), "left").select("key", "sid", F.coalesce("root", "sid").alias("comp"))
+    split = mixed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key")
+    split = stage(split, "jaccard-split-keys")
+    rows = stage(limited_semi(mixed, split, "key"), "jaccard-split")
+    release(split)
+    return rows
+
+
+def _untested(pairs: DataFrame, tested: DataFrame) -> DataFrame:
+    known = tested.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    return pairs.join(known, ["u", "v"], "left_anti")
 
 
 def _apart(pairs: DataFrame, root: DataFrame) -> DataFrame:
@@ -293,6 +342,8 @@ def jaccard_components(docs: DataFrame, rule: Threshold = Threshold(), key: str
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links) and set_id of every row."""
     sig = stage(sketch_documents(docs, rule, key, text), "jaccard-sketched")
     root = link_sets(docs, sig, rule, key, text)
+    wide, sig = sig, stage(sig.select("doc_id", "n_shingles", "sid"), "jaccard-sets")
+    release(wide)
     named = sig.where("n_shingles > 0").groupBy("sid").agg(F.min("doc_id").alias("d"))
     rooted = named.join(root, F.col("sid") == F.col("node"), "left").select("sid", "d", F.coalesce("root", "sid").alias("root"))
     least = rooted.groupBy("root").agg(F.min("d").alias("component_id"))

@@ -43,17 +43,24 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Remove one staged table that no later read needs."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def release(*staged: DataFrame) -> None:
+    """Remove staged tables that no later read needs."""
+    for df in staged:
+        spark = df.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.staged_path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def limited_semi(rows: DataFrame, ids: DataFrame, on: str, how: str = "left_semi") -> DataFrame:
+def limited_semi(rows: DataFrame, ids: DataFrame, on: str | list[str], how: str = "left_semi") -> DataFrame:
     """Semi or anti join to ``ids``: broadcast up to BROADCAST_IDS rows, else sort-merge."""
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return rows.join(F.broadcast(ids) if few else ids, on, how)
+    return rows.join(small(ids), on, how)
+
+
+def small(df: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``most`` rows, else as it is."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
