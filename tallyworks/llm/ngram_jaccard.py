@@ -28,6 +28,7 @@ table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -47,6 +48,8 @@ SKETCH_LONGS = 8
 STAR_SPLIT = 1_000
 #: Sketches and pairs that are broadcast at most; more are joined by sort-merge.
 BROADCAST_ROWS = 300_000
+#: Size of the bitmap of shared keys (8 MB).
+BITMAP_BITS = 26
 #: Rounds of stars around other members, before the pairwise round.
 HUB_ROUNDS = 3
 
@@ -74,9 +77,13 @@ def bands(rule: Threshold) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     while edges[-1] < 1 << 40:
         edges.append(max(edges[-1] + 1, edges[-1] * rule.den * 5 // (rule.num * 4) + 1))
     blocks, spare = [], []
-    for top in [e - 1 for e in edges[1:]] + [edges[-1]]:
+    for low, top in zip(edges, [e - 1 for e in edges[1:]] + [edges[-1]], strict=True):
         differing = rule.most_differing(2 * top)
-        more = 0 if differing < 12 else 1 + differing // 40
+        more, smallest = 0, -(-rule.num * low // rule.den)
+        for _ in range(30 if differing >= 12 else 0):  # empty blocks that the smallest set expects, and a margin
+            k = differing + 1 + more
+            empty = k * math.exp(-smallest / k)
+            more = min(math.ceil(empty + 1.5 * math.sqrt(empty)), differing)
         spare.append(more)
         blocks.append(0 if differing == 0 else differing + 1 + more)
     return np.array(edges, np.int64), np.array(blocks, np.int64), np.array(spare, np.int64)
@@ -255,17 +262,41 @@ def _verify(pairs: DataFrame, texts: DataFrame, rule: Threshold) -> DataFrame:
     return links
 
 
+def _bitmap(keys: DataFrame) -> np.ndarray:
+    """Bits of the low BITMAP_BITS bits of all keys, in words. Its size is fixed, whatever the number of keys."""
+    low = F.col("key").bitwiseAND(F.lit((1 << BITMAP_BITS) - 1))
+    bit = F.expr("shiftleft(1L, CAST(key & 63 AS INT))")
+    words = keys.groupBy(F.shiftright(low, 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    out = np.zeros(1 << (BITMAP_BITS - 6), np.int64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return out.view(U)
+
+
 def _shared_buckets(sig: DataFrame) -> DataFrame:
     """(key, sid) of the keys that two different sets share.
 
-    Copies of a set are left out first, so a count tells shared keys and packs well; only
-    then are the rows of these keys brought together.
+    Copies of a set are left out first, so a count tells shared keys and packs well. A bitmap
+    of fixed size then keeps most other rows out of the second shuffle, and a join the rest;
+    a bitmap too full to help costs that shuffle its savings and no result.
     """
     first = sig.groupBy("sid").agg(F.min("doc_id").alias("first"))
     copies = stage(sig.select("doc_id", "sid").join(first, "sid").where("doc_id <> first").select("doc_id", "sid").distinct(), "jaccard-copies")
-    rows = limited_semi(sig, copies, ["doc_id", "sid"], "left_anti").select(F.explode("keys").alias("key"), "sid")
-    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    buckets = stage(rows.join(shared, "key").distinct(), "jaccard-buckets")
+    rows = limited_semi(sig, copies, ["doc_id", "sid"], "left_anti").select("sid", "keys")
+    shared = rows.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    shared = stage(shared, "jaccard-shared")
+    bitmap = rows.sparkSession.sparkContext.broadcast(_bitmap(shared))
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            keys = lists.flatten().to_numpy().view(U)
+            sids = np.repeat(batch.column(0).to_numpy(), np.diff(lists.offsets.to_numpy()))
+            low = keys & U((1 << BITMAP_BITS) - 1)
+            hit = (bitmap.value[(low >> U(6)).astype(np.int64)] >> (low & U(63))) & U(1) > 0
+            yield pa.RecordBatch.from_arrays([pa.array(keys[hit].view(np.int64)), pa.array(sids[hit])], names=["key", "sid"])
+
+    buckets = stage(rows.mapInArrow(marked, "key long, sid long").join(shared, "key").distinct(), "jaccard-buckets")
+    release(shared)
     release(copies)
     return buckets
 
