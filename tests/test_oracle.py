@@ -23,9 +23,9 @@ def duck():
 def plain(value):
     if isinstance(value, bool) or value is None or isinstance(value, str):
         return str(value)
-    if isinstance(value, datetime):
-        return value.isoformat()
-    if isinstance(value, date):
+    if isinstance(value, list):
+        return str([plain(v) for v in value])
+    if isinstance(value, (date, datetime)):
         return value.isoformat()
     return repr(round(float(value), 9))
 
