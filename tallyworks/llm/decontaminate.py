@@ -146,7 +146,8 @@ def clean(
 ) -> DataFrame:
     """The rows of ``docs`` with fewer than ``least_hit`` hit words, columns unchanged; no shuffle.
 
-    An item of two or three words is a common phrase, and its window alone condemns no text.
+    With ``least_hit`` 1 a row goes if ``find_contamination`` hits it at all, as in the pipeline.
+    A larger one spares texts that hold only short items whole, and sums up over a long text.
     """
     spark = docs.sparkSession
     parts = [spark.sparkContext.broadcast(p) for p in _parts(benchmark, item, item_text, part_bytes)]
