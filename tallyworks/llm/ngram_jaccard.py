@@ -18,6 +18,8 @@ near the upper edge, the next one. A block's 64-bit XOR is one join key.
   After that round every two sets of a bucket were
   either compared or are in one component already, so no link is lost.
 * Links are verified on the whole sets. Texts of a popular star are salted.
+* Links are counted afterwards, if asked for: all sets of a component meet in salted blocks,
+  which yield a count a set and no pairs. Copies weigh in with their number.
 
 Sets and shingles are 64-bit hashes (two of 10^9 different sets collide with 3 % chance).
 
@@ -50,6 +52,8 @@ STAR_SPLIT = 1_000
 BROADCAST_ROWS = 300_000
 #: Size of the bitmap of shared keys (8 MB).
 BITMAP_BITS = 26
+#: Sets and shingles, on average, in one part of a component whose links are counted.
+PART_SETS, PART_SHINGLES = 500, 500_000
 #: Rounds of stars around other members, before the pairwise round.
 HUB_ROUNDS = 3
 
@@ -301,8 +305,70 @@ def _shared_buckets(sig: DataFrame) -> DataFrame:
     return buckets
 
 
-def link_sets(docs: DataFrame, sig: DataFrame, rule: Threshold, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(node, root) of the sets that are linked to another set."""
+def _count_links(texts: DataFrame, found: DataFrame, sig: DataFrame, rule: Threshold) -> DataFrame:
+    """(sid, near): for each linked set the rows of all other sets that it is linked to.
+
+    Links stay inside components. A component is dealt into parts, and every two parts (and
+    each with itself) are one block, so a set's text is sent once a part and no pair is sent.
+    """
+    sizes = sig.groupBy("sid").agg(F.count(F.lit(1)).alias("copies"), F.min("n_shingles").alias("n"))
+    rows = stage(found.withColumnRenamed("node", "sid").join(sizes, "sid"), "jaccard-members")
+    need = F.greatest(F.count(F.lit(1)) / F.lit(PART_SETS), F.sum("n") / F.lit(PART_SHINGLES))
+    large = stage(rows.groupBy("root").agg(F.ceil(need).cast("int").alias("parts")).where("parts > 1"), "jaccard-parts")
+    dealt = rows.join(small(large, BROADCAST_ROWS), "root", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int")).select("sid", "root", "copies", "parts", "part")
+    met = texts.join(small(dealt, BROADCAST_ROWS), "sid").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    blocks = met.select("root", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "sid", "copies", "text")
+    blocks = blocks.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "part", "sid")
+
+    def near_of(block: tuple[int, int, int], members: list[tuple[int, int, int, np.ndarray]]) -> np.ndarray:
+        """The sum of the linked members' copies, for each member."""
+        sizes = np.array([len(m[3]) for m in members], np.int64)
+        copies = np.array([m[2] for m in members], np.int64)
+        codes, at = np.unique(np.concatenate([m[3] for m in members]), return_inverse=True)
+        ends = np.cumsum(sizes)
+        mark, near = np.zeros(len(codes), np.int32), np.zeros(len(members), np.int64)
+        split = sum(m[0] == block[1] for m in members)  # of two parts, the first meets the second only
+        for a in range(len(members) - 1 if block[1] == block[2] else split):
+            b = a + 1 if block[1] == block[2] else split
+            if b == len(members):
+                break
+            own = at[ends[a] - sizes[a] : ends[a]]
+            mark[own] = 1
+            low = ends[b] - sizes[b]
+            both = np.add.reduceat(mark[at[low:]], ends[b:] - sizes[b:] - low)
+            mark[own] = 0
+            hit = rule.den * both >= rule.num * (sizes[a] + sizes[b:] - both)
+            near[a] += copies[b:][hit].sum()
+            near[b:][hit] += copies[a]
+        return near
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, members = None, []
+
+        def told() -> pa.RecordBatch:
+            near = near_of(block, members) if members else np.zeros(0, np.int64)
+            return pa.RecordBatch.from_arrays([pa.array([m[1] for m in members], pa.int64()), pa.array(near)], names=["sid", "near"])
+
+        for batch in batches:
+            roots, firsts, seconds, parts, sids, copies = (batch.column(i).to_pylist() for i in range(6))
+            for row, sets in shingle_sets(batch.column(6), rule.width):
+                for i, s in enumerate(sets, row):
+                    if (roots[i], firsts[i], seconds[i]) != block:
+                        yield told()
+                        block, members = (roots[i], firsts[i], seconds[i]), []
+                    members.append((parts[i], sids[i], copies[i], s))
+        yield told()
+
+    near = stage(blocks.mapInArrow(count, "sid long, near long").groupBy("sid").agg(F.sum("near").alias("near")), "jaccard-near")
+    release(rows, large)
+    return near
+
+
+def link_sets(
+    docs: DataFrame, sig: DataFrame, rule: Threshold, key: str = "doc_id", text: str = "text", links_too: bool = False
+) -> DataFrame:
+    """(node, root) of the sets that are linked to another set, and ``near`` of ``_count_links`` if asked for."""
     buckets = _shared_buckets(sig)
     sids = stage(buckets.select("sid").distinct(), "jaccard-sids")
     sketches = stage(
@@ -340,6 +406,9 @@ def link_sets(docs: DataFrame, sig: DataFrame, rule: Threshold, key: str = "doc_
     crossing = (F.col("a.key") == F.col("b.key")) & (F.col("a.sid") < F.col("b.sid")) & (F.col("a.comp") != F.col("b.comp"))
     pairs = a.join(b, crossing & _near(rule)).select(F.col("a.sid").alias("u"), F.col("b.sid").alias("v")).distinct()
     found = components(links.union(_verify(_untested(pairs, tested), texts, rule)))
+    if links_too:
+        found = stage(found, "jaccard-components")
+        found = found.join(_count_links(texts, found, sig, rule).withColumnRenamed("sid", "node"), "node")
     release(texts, left)
     return found
 
@@ -369,19 +438,27 @@ def _apart(pairs: DataFrame, root: DataFrame) -> DataFrame:
     )
 
 
-def jaccard_components(docs: DataFrame, rule: Threshold = Threshold(), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable by links) and set_id of every row."""
+def jaccard_components(
+    docs: DataFrame, rule: Threshold = Threshold(), key: str = "doc_id", text: str = "text", links_too: bool = False
+) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable by links) and set_id of every row.
+
+    With ``links_too`` also n_links, the number of other rows that the row is linked to.
+    """
     sig = stage(sketch_documents(docs, rule, key, text), "jaccard-sketched")
-    root = link_sets(docs, sig, rule, key, text)
+    root = link_sets(docs, sig, rule, key, text, links_too)
     wide, sig = sig, stage(sig.select("doc_id", "n_shingles", "sid"), "jaccard-sets")
     release(wide)
-    named = sig.where("n_shingles > 0").groupBy("sid").agg(F.min("doc_id").alias("d"))
-    rooted = named.join(root, F.col("sid") == F.col("node"), "left").select("sid", "d", F.coalesce("root", "sid").alias("root"))
+    named = sig.where("n_shingles > 0").groupBy("sid").agg(F.min("doc_id").alias("d"), F.count(F.lit(1)).alias("copies"))
+    near = [(F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("n_links")] if links_too else []
+    rooted = named.join(root, F.col("sid") == F.col("node"), "left").select("sid", "d", F.coalesce("root", "sid").alias("root"), *near)
     least = rooted.groupBy("root").agg(F.min("d").alias("component_id"))
-    of_set = stage(rooted.join(least, "root").select("sid", "component_id"), "jaccard-classes")
+    links = ["n_links"] if links_too else []
+    of_set = stage(rooted.join(least, "root").select("sid", "component_id", *links), "jaccard-classes")
     return sig.select("doc_id", "n_shingles", "sid").join(of_set, "sid", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.col("sid").alias("set_id")
-    )
+        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.col("sid").alias("set_id"),
+        *[F.coalesce(c, F.lit(0)).alias(c) for c in links],
+    )
 
 
 def keep_one(docs: DataFrame, rule: Threshold = Threshold(), key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -50,6 +50,18 @@ def test_jaccard_components(docs, corpus, width, num):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(corpus[0], width, num, 100)
 
 
+@pytest.mark.parametrize(("width", "num", "part"), [(4, 85, 500), (5, 80, 3)])
+def test_jaccard_counts_links(docs, corpus, monkeypatch, width, num, part):
+    """Every link between rows counts, inside components and of copies too, in one block or several."""
+    monkeypatch.setattr(ngram_jaccard, "PART_SETS", part)
+    got = ngram_jaccard.jaccard_components(docs, ngram_jaccard.Threshold(width, num, 100), links_too=True).collect()
+    sets, want = [shingle_set(r[1], width) for r in corpus[0]], Counter()
+    for i, a in enumerate(sets):
+        both = [(len(a & b), len(a | b)) for j, b in enumerate(sets) if j != i and a and b]
+        want[(corpus[0][i][0], sum(100 * x >= num * y for x, y in both))] += 1
+    assert Counter((r.doc_id, r.n_links) for r in got) == want and max(r.n_links for r in got) > 4
+
+
 def test_jaccard_keeps_one(docs, corpus, none):
     kept = ngram_jaccard.keep_one(docs)
     assert kept.columns == docs.columns
