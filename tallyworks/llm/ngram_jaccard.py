@@ -39,6 +39,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .components import components, merged
 from .store import limited_semi, release, small, stage
@@ -441,7 +442,9 @@ def _apart(pairs: DataFrame, root: DataFrame) -> DataFrame:
 def jaccard_components(
     docs: DataFrame, rule: Threshold = Threshold(), key: str = "doc_id", text: str = "text", links_too: bool = False
 ) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable by links) and set_id of every row.
+    """doc_id, n_shingles, component_id (smallest doc_id reachable by links), set_id and root_id of every row.
+
+    root_id is the smallest set_id of the component; keys that repeat can give two components one component_id.
 
     With ``links_too`` also n_links, the number of other rows that the row is linked to.
     """
@@ -454,9 +457,10 @@ def jaccard_components(
     rooted = named.join(root, F.col("sid") == F.col("node"), "left").select("sid", "d", F.coalesce("root", "sid").alias("root"), *near)
     least = rooted.groupBy("root").agg(F.min("d").alias("component_id"))
     links = ["n_links"] if links_too else []
-    of_set = stage(rooted.join(least, "root").select("sid", "component_id", *links), "jaccard-classes")
+    of_set = stage(rooted.join(least, "root").select("sid", "component_id", "root", *links), "jaccard-classes")
     return sig.select("doc_id", "n_shingles", "sid").join(of_set, "sid", "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.col("sid").alias("set_id"),
+        F.coalesce("root", "sid").alias("root_id"),
         *[F.coalesce(c, F.lit(0)).alias(c) for c in links],
     )
 
@@ -464,13 +468,28 @@ def jaccard_components(
 def keep_one(docs: DataFrame, rule: Threshold = Threshold(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` with the smallest key of their component, columns unchanged.
 
-    Of rows that repeat a key one stays; rows without a key stay.
+    Rows that repeat a key are told apart by their sets: one of a component stays, and a row
+    goes only if its own text is linked to another. Rows without a key stay.
     """
     found = stage(jaccard_components(docs, rule, key, text).where("doc_id IS NOT NULL"), "jaccard-found")
-    dropped = stage(found.where("doc_id <> component_id").select("doc_id").distinct(), "jaccard-dropped")
     again = stage(found.groupBy("doc_id").count().where("count > 1").select("doc_id"), "jaccard-again")
-    kept = limited_semi(docs, dropped.select(F.col("doc_id").alias(key)), key, "left_anti")
+    gone = found.where("doc_id <> component_id").select("doc_id").union(again)  # those that repeat are looked at below
+    gone = stage(gone.distinct().withColumnRenamed("doc_id", key), "jaccard-dropped")
+    kept = limited_semi(docs, gone, key, "left_anti")
     if again.isEmpty():
         return kept
-    again = again.select(F.col("doc_id").alias(key))
-    return limited_semi(kept, again, key, "left_anti").union(limited_semi(kept, again, key).dropDuplicates([key]))
+    stays = limited_semi(found.where("doc_id = component_id"), again, "doc_id").groupBy("doc_id", "root_id")
+    stays = stays.agg(F.min("set_id").alias("_set")).select(F.col("doc_id").alias(key), "_set").distinct()
+    rows = limited_semi(docs, again.withColumnRenamed("doc_id", key), key)
+
+    def with_set(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = [np.zeros(0, np.int64)]
+            for _, sets in shingle_sets(batch.column(batch.schema.get_field_index(text)), rule.width):
+                sizes = np.array([len(s) for s in sets], np.int64)
+                ids.append(set_ids(np.concatenate([*sets, np.zeros(0, U)]), sizes).view(np.int64))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(ids))], names=[*batch.schema.names, "_set"])
+
+    rows = rows.mapInArrow(with_set, StructType([*docs.schema.fields, StructField("_set", LongType())]))
+    rows = limited_semi(rows, stage(stays, "jaccard-stays"), [key, "_set"]).dropDuplicates([key, "_set"])
+    return kept.union(rows.select(*docs.columns))

@@ -15,7 +15,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     rule = ngram_jaccard.Threshold(width=4, num=85, den=100)
-    return ngram_jaccard.jaccard_components(read_table(spark, sf_dir, "documents"), rule, links_too=True).drop("set_id")
+    return ngram_jaccard.jaccard_components(read_table(spark, sf_dir, "documents"), rule, links_too=True).drop("set_id", "root_id")
 
 
 def op2_compression_language(spark: SparkSession, sf_dir: str) -> DataFrame:

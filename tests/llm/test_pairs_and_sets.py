@@ -70,6 +70,17 @@ def test_jaccard_keeps_one(docs, corpus, none):
     assert ngram_jaccard.keep_one(none).count() == 0
 
 
+def test_jaccard_keeps_one_of_repeated_keys(spark):
+    """A key over unrelated texts loses only the rows whose own text is linked."""
+    texts = {t: " ".join(f"{t}{i}" for i in range(60)) for t in "abcde"}
+    near = {t: x + " more" for t, x in texts.items()}
+    rows = [(1, texts["a"], 1), (1, texts["b"], 2), (1, texts["a"], 3), (1, near["b"], 4), (2, near["a"], 5), (2, texts["c"], 6)]
+    rows += [(3, near["b"], 7), (3, texts["d"], 8), (4, near["d"], 9), (5, texts["e"], 10), (6, texts["e"], 11), (None, texts["a"], 12)]
+    kept = ngram_jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string, n int"))
+    got = [(r.doc_id, r.text[0]) for r in kept.collect()]
+    assert Counter(got) == Counter([(1, "a"), (1, "b"), (2, "c"), (3, "d"), (5, "e"), (None, "a")])
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(1, 400), st.floats(0, 0.3), st.integers(0, 10**6))
 def test_signatures_never_miss(size, change, seed):
