@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import stage
+from .store import release, stage
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -39,20 +39,22 @@ def merged(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(u, v) links to (node, root): root is the smallest node of the component.
+    """(u, v) links to (node, root), as a staged table: root is the smallest node of the component.
 
     Nodes without a link do not appear; an empty table gives an empty result.
     """
     now = stage(edges.select("u", "v").where("u <> v").distinct(), "links")
     before = None
     for _ in range(max_rounds):
-        now = stage(_small_star(_large_star(now)), "stars")
+        last, now = now, stage(_small_star(_large_star(now)), "stars")
+        release(last)
         mark = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         if mark == before:
             break
         before = mark
     else:
         raise RuntimeError("components did not settle")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
-        now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-    )
+    roots = now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+    out = stage(now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots), "components")
+    release(now)
+    return out

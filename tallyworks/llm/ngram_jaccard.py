@@ -11,12 +11,21 @@ near the upper edge, the next one. A block's 64-bit XOR is one join key.
   empty blocks leaves them out, which loses nothing. Another set signs again with the
   next seed, so any two similar sets share a seed at which one of them was regular.
 * Equal sets sign alike and are one class from the start, whatever their number.
+* Linked sets agree on at least as many blocks as a set has filled ones, less the largest
+  difference that its size and band allow. A set that shares fewer keys with all others
+  together leaves its buckets before any pair is formed.
 * Candidates are stars, not pairs: each set of a bucket meets the bucket's smallest set,
   first only the one it shares most keys with. Links contract into components; buckets that
-  hold several of these meet around other members for a few rounds, and what then still
-  holds several is joined pairwise, behind the Hamming bound of a second, 512-bit sketch.
-  After that round every two sets of a bucket were
-  either compared or are in one component already, so no link is lost.
+  hold several of these meet around other members for a few rounds.
+* What then still holds several components is thinned by support: only shingles that sets of
+  two components hold can be in a link that is still wanted. A set of n shingles, c of them
+  supported, links with sets of at most ``reach`` = c (1+t)/t - n shingles, so it leaves every
+  bucket in which no set of another component is small enough and reaches far enough. Sets
+  just below the threshold go this way in linear time, as edits make shingles of their own.
+* The rest is joined pairwise, behind the reach and the Hamming bound. Every two sets of a
+  bucket were then compared, excluded or are in one component, so no link is lost.
+* The Hamming bound is that of a sketch of 512 parity bits, and for long sets of one with at
+  least four bits for each shingle that may differ (longer ones fold onto shorter ones).
 * Links are verified on the whole sets. Texts of a popular star are salted.
 * Links are counted afterwards, if asked for: all sets of a component meet in salted blocks,
   which yield a count a set and no pairs. Copies weigh in with their number.
@@ -31,7 +40,7 @@ table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -47,6 +56,8 @@ from .wordhash import U, mix, salt, shingle_sets
 
 SEEDS = 6
 SKETCH_LONGS = 8
+#: Low bits of a key that name its band and seed.
+GROUP_BITS = 10
 #: Members of a star that one task verifies together.
 STAR_SPLIT = 1_000
 #: Sketches and pairs that are broadcast at most; more are joined by sort-merge.
@@ -55,8 +66,8 @@ BROADCAST_ROWS = 300_000
 BITMAP_BITS = 26
 #: Sets and shingles, on average, in one part of a component whose links are counted.
 PART_SETS, PART_SHINGLES = 500, 500_000
-#: Rounds of stars around other members, before the pairwise round.
-HUB_ROUNDS = 3
+#: Rounds of stars around other members, and of thinning by support, before the pairwise round.
+HUB_ROUNDS, SUPPORT_ROUNDS = 2, 3
 
 
 @dataclass(frozen=True)
@@ -107,13 +118,30 @@ def set_ids(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return ids
 
 
-def parity_bits(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The short sketch, one row of SKETCH_LONGS integers a set."""
-    width = 64 * SKETCH_LONGS
+def parity_bits(flat: np.ndarray, sizes: np.ndarray, longs: int = SKETCH_LONGS) -> np.ndarray:
+    """A sketch of parity bits, one row of ``longs`` (a power of two) integers a set."""
+    width = 64 * longs
     owner = np.repeat(np.arange(len(sizes)), sizes)
     at = owner * width + (mix(flat ^ salt(4)) & U(width - 1)).astype(np.int64)
     odd = (np.bincount(at, minlength=len(sizes) * width) & 1).astype(np.uint8)
-    return np.packbits(odd).view(np.int64).reshape(len(sizes), SKETCH_LONGS)
+    return np.packbits(odd).view(np.int64).reshape(len(sizes), longs)
+
+
+def wide_sketches(sets: list[np.ndarray], rule: Threshold) -> list[np.ndarray | None]:
+    """The long sketch of each set for which the short one has too few bits, else None."""
+    out: list[np.ndarray | None] = []
+    for s in sets:
+        longs = 1 << max(0, 4 * rule.most_differing(2 * len(s)) - 1).bit_length() >> 6
+        out.append(parity_bits(s, np.array([len(s)]), longs)[0] if longs > SKETCH_LONGS else None)
+    return out
+
+
+def flips(a: np.ndarray, b: np.ndarray) -> int:
+    """Differing bits of two sketches, the longer one folded onto the shorter one."""
+    while len(a) != len(b):
+        a, b = (a, b) if len(a) > len(b) else (b, a)
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    return int(np.bitwise_count((a ^ b).view(U)).sum())
 
 
 def _sign(flat: np.ndarray, sizes: np.ndarray, tags: np.ndarray, rule: Threshold) -> tuple[np.ndarray, np.ndarray]:
@@ -136,7 +164,8 @@ def _sign(flat: np.ndarray, sizes: np.ndarray, tags: np.ndarray, rule: Threshold
         filled = np.bincount(slot, minlength=total) > 0
         block_of = np.repeat(np.arange(len(todo)), k)
         name = (tags[todo][block_of] * (1 << 32) + np.arange(total) - base[block_of]).astype(U)
-        key = mix(parity ^ mix(name ^ salt(7, seed)))
+        group = (tags[todo][block_of] * SEEDS + seed).astype(U)
+        key = mix(parity ^ mix(name ^ salt(7, seed))) >> U(GROUP_BITS) << U(GROUP_BITS) | group
         empty = k - np.bincount(block_of[filled], minlength=len(todo))
         odd_one = empty > all_spare[tags[todo]]
         kept = filled if seed < SEEDS - 1 else filled | odd_one[block_of]
@@ -171,7 +200,7 @@ _SKETCH = [f"s{i}" for i in range(SKETCH_LONGS)]
 
 
 def sketch_documents(docs: DataFrame, rule: Threshold, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, sid (id of the set), short sketch and join keys; one scan, no shuffle."""
+    """doc_id, n_shingles, sid (id of the set), sketches and join keys; one scan, no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -187,26 +216,50 @@ def sketch_documents(docs: DataFrame, rule: Threshold, key: str = "doc_id", text
                         pa.array(set_ids(flat, sizes).view(np.int64)),
                         *[pa.array(np.ascontiguousarray(bits[:, i])) for i in range(SKETCH_LONGS)],
                         pa.ListArray.from_arrays(pa.array(lengths), pa.array(np.concatenate([*keys, np.zeros(0, U)]).view(np.int64))),
+                        pa.array(wide_sketches(sets, rule), pa.list_(pa.int64())),
                     ],
-                    names=["doc_id", "n_shingles", "sid", *_SKETCH, "keys"],
+                    names=["doc_id", "n_shingles", "sid", *_SKETCH, "keys", "wide"],
                 )
 
     fields = ", ".join(f"{s} long" for s in ["doc_id", "n_shingles", "sid", *_SKETCH])
-    return docs.select(F.col(key), F.col(text)).mapInArrow(run, f"{fields}, keys array<long>")
+    return docs.select(F.col(key), F.col(text)).mapInArrow(run, f"{fields}, keys array<long>, wide array<long>")
 
 
 def _near(rule: Threshold) -> Column:
     """The Hamming bound of the short sketches of a and b, and their sizes."""
-    flips = sum((F.bit_count(F.col(f"a.{s}").bitwiseXOR(F.col(f"b.{s}"))) for s in _SKETCH), F.lit(0))
+    differing = sum((F.bit_count(F.col(f"a.{s}").bitwiseXOR(F.col(f"b.{s}"))) for s in _SKETCH), F.lit(0))
     most = (F.col("a.n") + F.col("b.n")) * F.lit(rule.den - rule.num)
     fits = F.least("a.n", "b.n") * F.lit(rule.den) >= F.greatest("a.n", "b.n") * F.lit(rule.num)
-    return fits & (flips * F.lit(rule.den + rule.num) <= most)
+    return fits & (differing * F.lit(rule.den + rule.num) <= most)
 
 
-def _screen(pairs: DataFrame, sketches: DataFrame, rule: Threshold) -> DataFrame:
+def _screen(pairs: DataFrame, sketches: DataFrame, wide: DataFrame, rule: Threshold) -> DataFrame:
+    """The pairs (u, v, ...) that the Hamming bounds leave: of short sketches, then of long ones."""
     a, b = (small(sketches.select("*"), BROADCAST_ROWS).alias(x) for x in "ab")
-    joined = pairs.join(a, F.col("u") == F.col("a.sid")).join(b, F.col("v") == F.col("b.sid"))
-    return joined.where(_near(rule)).select("u", "v", "shared")
+    joined = pairs.join(a, F.col("u") == F.col("a.sid")).join(b, F.col("v") == F.col("b.sid")).where(_near(rule))
+    return _screen_wide(joined.select(*[pairs[c] for c in pairs.columns], F.col("a.n").alias("na"), F.col("b.n").alias("nb")), wide, rule)
+
+
+def _screen_wide(pairs: DataFrame, wide: DataFrame, rule: Threshold) -> DataFrame:
+    """The pairs (u, v, ..., na, nb) within the Hamming bound of their long sketches; a set without one passes."""
+    kept = [c for c in pairs.columns if c not in ("na", "nb")]
+    both = pairs = stage(pairs, "jaccard-short")
+    for end in "uv":
+        both = both.join(wide.select(F.col("sid").alias(end), F.col("wide").alias(f"w{end}")), end, "left")
+    unknown = F.col("wu").isNull() | F.col("wv").isNull()
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = len(kept)
+            most = (batch.column(n).to_numpy() + batch.column(n + 1).to_numpy()) * (rule.den - rule.num)
+            us, vs = batch.column(n + 2), batch.column(n + 3)
+            near = [flips(us[i].values.to_numpy(), vs[i].values.to_numpy()) * (rule.den + rule.num) <= most[i] for i in range(len(us))]
+            yield batch.select(kept).filter(pa.array(near, pa.bool_()))
+
+    long = both.where(~unknown).select(*kept, "na", "nb", "wu", "wv").mapInArrow(compare, pairs.select(*kept).schema)
+    out = stage(both.where(unknown).select(*kept).union(long), "jaccard-screened")
+    release(pairs)
+    return out
 
 
 def _texts(docs: DataFrame, sig: DataFrame, sids: DataFrame, rule: Threshold, key: str, text: str) -> DataFrame:
@@ -268,17 +321,25 @@ def _verify(pairs: DataFrame, texts: DataFrame, rule: Threshold) -> DataFrame:
 
 
 def _bitmap(keys: DataFrame) -> np.ndarray:
-    """Bits of the low BITMAP_BITS bits of all keys, in words. Its size is fixed, whatever the number of keys."""
-    low = F.col("key").bitwiseAND(F.lit((1 << BITMAP_BITS) - 1))
-    bit = F.expr("shiftleft(1L, CAST(key & 63 AS INT))")
+    """Bits of the lowest BITMAP_BITS bits of all keys' hashes, in words. Its size is fixed, whatever the number of keys."""
+    low = F.shiftright("key", GROUP_BITS).bitwiseAND(F.lit((1 << BITMAP_BITS) - 1))
+    bit = F.expr(f"shiftleft(1L, CAST(shiftright(key, {GROUP_BITS}) & 63 AS INT))")
     words = keys.groupBy(F.shiftright(low, 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
     out = np.zeros(1 << (BITMAP_BITS - 6), np.int64)
     out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
     return out.view(U)
 
 
-def _shared_buckets(sig: DataFrame) -> DataFrame:
-    """(key, sid) of the keys that two different sets share.
+def needed(n: np.ndarray, group: np.ndarray, kept: np.ndarray, rule: Threshold) -> np.ndarray:
+    """Keys that a set of ``n`` shingles shares with any set it links to, of the ``kept`` ones of a group."""
+    edges, _, _ = bands(rule)
+    tops = np.append(edges[1:] - 1, edges[-1])
+    other = np.minimum(tops[group // SEEDS], n * rule.den // rule.num)
+    return np.maximum(1, kept - (n + other) * (rule.den - rule.num) // (rule.den + rule.num))
+
+
+def _shared_buckets(sig: DataFrame, rule: Threshold) -> DataFrame:
+    """(key, sid) of the keys that two different sets share, for sets that share enough of them.
 
     Copies of a set are left out first, so a count tells shared keys and packs well. A bitmap
     of fixed size then keeps most other rows out of the second shuffle, and a join the rest;
@@ -286,26 +347,45 @@ def _shared_buckets(sig: DataFrame) -> DataFrame:
     """
     first = sig.groupBy("sid").agg(F.min("doc_id").alias("first"))
     copies = stage(sig.select("doc_id", "sid").join(first, "sid").where("doc_id <> first").select("doc_id", "sid").distinct(), "jaccard-copies")
-    rows = limited_semi(sig, copies, ["doc_id", "sid"], "left_anti").select("sid", "keys")
+    rows = limited_semi(sig, copies, ["doc_id", "sid"], "left_anti").select("sid", "n_shingles", "keys")
     shared = rows.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     shared = stage(shared, "jaccard-shared")
     bitmap = rows.sparkSession.sparkContext.broadcast(_bitmap(shared))
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(1)
+            lists = batch.column(2)
             keys = lists.flatten().to_numpy().view(U)
-            sids = np.repeat(batch.column(0).to_numpy(), np.diff(lists.offsets.to_numpy()))
-            low = keys & U((1 << BITMAP_BITS) - 1)
+            owner = np.repeat(np.arange(len(batch)), np.diff(lists.offsets.to_numpy()))
+            low = (keys >> U(GROUP_BITS)) & U((1 << BITMAP_BITS) - 1)
             hit = (bitmap.value[(low >> U(6)).astype(np.int64)] >> (low & U(63))) & U(1) > 0
-            yield pa.RecordBatch.from_arrays([pa.array(keys[hit].view(np.int64)), pa.array(sids[hit])], names=["key", "sid"])
-
-    buckets = stage(rows.mapInArrow(marked, "key long, sid long").join(shared, "key").distinct(), "jaccard-buckets")
-    release(shared)
-    release(copies)
+            code = (owner << GROUP_BITS) + (keys & U((1 << GROUP_BITS) - 1)).astype(np.int64)
+            codes, at, kept = np.unique(code, return_inverse=True, return_counts=True)
+            need = needed(batch.column(1).to_numpy()[codes >> GROUP_BITS], codes & ((1 << GROUP_BITS) - 1), kept, rule)
+            hit &= (np.bincount(at[hit], minlength=len(codes)) >= need)[at]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys[hit].view(np.int64)), pa.array(batch.column(0).to_numpy()[owner[hit]]), pa.array(need[at[hit]])],
+                names=["key", "sid", "need"],
+            )
+
+    buckets = stage(rows.mapInArrow(marked, "key long, sid long, need long").join(shared, "key").distinct(), "jaccard-buckets")
+    release(shared, copies)
+    bitmap.unpersist()
+    for _ in range(2):  # each time a set leaves, others may share too little
+        buckets, before = stage(_enough(buckets), "jaccard-enough"), buckets
+        release(before)
     return buckets
 
 
+def _enough(buckets: DataFrame) -> DataFrame:
+    """The rows (key, sid, need) of sets that share as many keys of the group as they need."""
+    group = F.col("key").bitwiseAND(F.lit((1 << GROUP_BITS) - 1)).alias("grp")
+    met = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1").select("key")
+    rows = buckets.join(met, "key").select("*", group)
+    fit = rows.groupBy("sid", "grp").agg(F.count(F.lit(1)).alias("have"), F.max("need").alias("least")).where("have >= least")
+    return rows.join(fit.select("sid", "grp"), ["sid", "grp"]).select("key", "sid", "need")
+
+
 def _count_links(texts: DataFrame, found: DataFrame, sig: DataFrame, rule: Threshold) -> DataFrame:
     """(sid, near): for each linked set the rows of all other sets that it is linked to.
 
@@ -370,50 +450,108 @@ def link_sets(
     docs: DataFrame, sig: DataFrame, rule: Threshold, key: str = "doc_id", text: str = "text", links_too: bool = False
 ) -> DataFrame:
     """(node, root) of the sets that are linked to another set, and ``near`` of ``_count_links`` if asked for."""
-    buckets = _shared_buckets(sig)
+    shared = _shared_buckets(sig, rule)
+    buckets = shared.select("key", "sid")
     sids = stage(buckets.select("sid").distinct(), "jaccard-sids")
-    sketches = stage(
-        limited_semi(sig, sids, "sid").select("sid", F.col("n_shingles").alias("n"), *_SKETCH).dropDuplicates(["sid"]), "jaccard-sketches"
-    )
+    drawn = limited_semi(sig, sids, "sid").select("sid", F.col("n_shingles").alias("n"), *_SKETCH, "wide").dropDuplicates(["sid"])
+    drawn = stage(drawn, "jaccard-sketches")
+    sketches, wide = drawn.drop("wide"), drawn.where("wide IS NOT NULL").select("sid", "wide")
     texts = _texts(docs, sig, sids, rule, key, text)
+    used = [shared, sids, drawn]
+
+    def own(staged: DataFrame) -> DataFrame:
+        used.append(staged)
+        return staged
+
+    def keep(df: DataFrame, label: str) -> DataFrame:
+        return own(stage(df, label))
 
     hubs = buckets.groupBy("key").agg(F.min("sid").alias("u"))  # one row a bucket
     stars = buckets.join(hubs, "key").where("sid <> u").groupBy("u", F.col("sid").alias("v")).agg(F.count(F.lit(1)).alias("shared"))
-    stars = stage(_screen(stage(stars, "jaccard-stars"), sketches, rule), "jaccard-screened")
-    tested = stars.groupBy("v").agg(F.max_by("u", F.struct("shared", "u")).alias("u")).select("u", "v")
-    links = _verify(tested, texts, rule)
-    root = stage(merged(links), "jaccard-roots")
+    stars = own(_screen(stars, sketches, wide, rule))
+    tested = keep(stars.groupBy("v").agg(F.max_by("u", F.struct("shared", "u")).alias("u")).select("u", "v"), "jaccard-first")
+    links = own(_verify(tested, texts, rule))
+    root = keep(merged(links), "jaccard-roots")
 
-    more = _apart(stars.select("u", "v"), root).join(tested, ["u", "v"], "left_anti")
-    tested, links = tested.union(more), links.union(_verify(more, texts, rule))
-    root = stage(merged(links), "jaccard-roots")
+    more = keep(_apart(stars.select("u", "v"), root).join(tested, ["u", "v"], "left_anti"), "jaccard-more")
+    tested, links = tested.union(more), links.union(own(_verify(more, texts, rule)))
+    root = keep(merged(links), "jaccard-roots")
 
     for turn in range(HUB_ROUNDS):
-        before, buckets = buckets, _open(buckets, root)
-        release(before)
+        buckets = own(_open(buckets, root))
         hubs = buckets.groupBy("key").agg(F.min_by(F.struct("sid", "comp"), F.xxhash64("sid", "key", F.lit(turn))).alias("hub"))
         met = buckets.join(hubs, "key").where(F.col("comp") != F.col("hub.comp"))
         pairs = met.select(F.least("sid", "hub.sid").alias("u"), F.greatest("sid", "hub.sid").alias("v")).distinct()
-        pairs = stage(_screen(pairs.withColumn("shared", F.lit(0)), sketches, rule).select("u", "v"), "jaccard-met")
-        found = _verify(_untested(pairs, tested), texts, rule)
+        pairs = own(_screen(pairs, sketches, wide, rule))
+        found = own(_verify(_untested(pairs, tested), texts, rule))
         tested = tested.union(pairs)
         if found.isEmpty():
             break
         links = links.union(found)
-        root = stage(merged(links), "jaccard-roots")
+        root = keep(merged(links), "jaccard-roots")
 
-    left = stage(_open(buckets, root).join(small(sketches, BROADCAST_ROWS), "sid"), "jaccard-open")
+    left = _supported(own(_open(buckets, root)), texts, rule, keep)
+    left = keep(left.join(small(sketches, BROADCAST_ROWS).drop("n"), "sid"), "jaccard-left")
     a, b = left.alias("a"), left.alias("b")
     crossing = (F.col("a.key") == F.col("b.key")) & (F.col("a.sid") < F.col("b.sid")) & (F.col("a.comp") != F.col("b.comp"))
-    pairs = a.join(b, crossing & _near(rule)).select(F.col("a.sid").alias("u"), F.col("b.sid").alias("v")).distinct()
-    found = components(links.union(_verify(_untested(pairs, tested), texts, rule)))
+    reached = (F.col("a.n") <= F.col("b.reach")) & (F.col("b.n") <= F.col("a.reach"))
+    pairs = a.join(b, crossing & reached & _near(rule))
+    pairs = pairs.select(F.col("a.sid").alias("u"), F.col("b.sid").alias("v"), F.col("a.n").alias("na"), F.col("b.n").alias("nb")).distinct()
+    pairs = own(_screen_wide(pairs, wide, rule))
+    found = own(components(links.union(own(_verify(_untested(pairs, tested), texts, rule)))))
     if links_too:
-        found = stage(found, "jaccard-components")
-        found = found.join(_count_links(texts, found, sig, rule).withColumnRenamed("sid", "node"), "node")
-    release(texts, left)
+        near = _count_links(texts, found, sig, rule)
+        found = stage(found.join(near.withColumnRenamed("sid", "node"), "node"), "jaccard-counted")
+        release(near)
+    else:
+        used.remove(found)
+    release(texts, *used)
     return found
 
 
+def _supported(left: DataFrame, texts: DataFrame, rule: Threshold, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """The rows (key, sid, comp, n, reach) of open buckets whose sets may still link to another component.
+
+    Linear in the shingles of the sets, whatever the size of a bucket: no two sets meet here.
+    """
+
+    def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, sets in shingle_sets(batch.column(2), rule.width):
+                sizes = np.array([len(s) for s in sets])
+                ids, comps = (np.repeat(batch.column(i).to_numpy()[row : row + len(sets)], sizes) for i in (0, 1))
+                flat = np.concatenate([*sets, np.zeros(0, U)]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(comps), pa.array(flat)], names=["sid", "comp", "shingle"])
+
+    sets = left.select("sid", "comp").distinct()
+    rows = texts.join(small(sets, BROADCAST_ROWS), "sid").select("sid", "comp", "text")
+    held = keep(rows.mapInArrow(exploded, "sid long, comp long, shingle long"), "jaccard-held")
+    for turn in range(SUPPORT_ROUNDS):
+        shared = held.groupBy("shingle").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("shingle", F.lit(1).alias("one"))
+        sizes = held.join(shared, "shingle", "left").groupBy("sid").agg(F.count(F.lit(1)).alias("n"), F.count("one").alias("c"))
+        if turn:  # n counts all shingles of a set, so it is the same in every round
+            left = left.drop("n", "reach")
+        reach = (F.floor(F.col("c") * F.lit(rule.num + rule.den) / F.lit(rule.num)) - F.col("n")).alias("reach")
+        sized = left.join(small(sizes.select("sid", "n", "c", reach).where("reach >= c").drop("c"), BROADCAST_ROWS), "sid")
+        sized = keep(sized, "jaccard-sized")
+        by = sized.groupBy("key", "comp").agg(F.max("reach").alias("far"), F.min("n").alias("least"))
+        best = by.groupBy("key").agg(F.max(F.struct("far", "comp")).alias("f"), F.min(F.struct("least", "comp")).alias("l"))
+        both = by.join(best, "key").groupBy("key").agg(
+            F.first("f").alias("f"), F.first("l").alias("l"),
+            F.max(F.when(F.col("comp") != F.col("f.comp"), F.col("far"))).alias("f2"),
+            F.min(F.when(F.col("comp") != F.col("l.comp"), F.col("least"))).alias("l2"),
+        )
+        far = F.when(F.col("comp") == F.col("f.comp"), F.col("f2")).otherwise(F.col("f.far"))
+        least = F.when(F.col("comp") == F.col("l.comp"), F.col("l2")).otherwise(F.col("l.least"))
+        before = left.select("sid").distinct().count()
+        left = keep(sized.join(both, "key").where((F.col("n") <= far) & (least <= F.col("reach"))).select(*sized.columns), "jaccard-thinned")
+        after = left.select("sid").distinct()
+        if after.count() > 0.9 * before:
+            break
+        held = keep(limited_semi(held, after, "sid"), "jaccard-held")
+    return left
+
+
 def _open(buckets: DataFrame, root: DataFrame) -> DataFrame:
     """(key, sid, comp) of the keys whose sets are in several components."""
     mixed = buckets.join(small(root), F.col("sid") == F.col("node"), "left").select("key", "sid", F.coalesce("root", "sid").alias("comp"))
@@ -448,9 +586,14 @@ def jaccard_components(
 
     With ``links_too`` also n_links, the number of other rows that the row is linked to.
     """
-    sig = stage(sketch_documents(docs, rule, key, text), "jaccard-sketched")
-    root = link_sets(docs, sig, rule, key, text, links_too)
-    wide, sig = sig, stage(sig.select("doc_id", "n_shingles", "sid"), "jaccard-sets")
+    return _classes(docs, rule, key, text, links_too)[0]
+
+
+def _classes(docs: DataFrame, rule: Threshold, key: str, text: str, links_too: bool = False) -> tuple[DataFrame, list[DataFrame]]:
+    """The rows of ``jaccard_components`` and the staged tables that they are read from."""
+    wide = stage(sketch_documents(docs, rule, key, text), "jaccard-sketched")
+    root = link_sets(docs, wide, rule, key, text, links_too)
+    sig = stage(wide.select("doc_id", "n_shingles", "sid"), "jaccard-sets")
     release(wide)
     named = sig.where("n_shingles > 0").groupBy("sid").agg(F.min("doc_id").alias("d"), F.count(F.lit(1)).alias("copies"))
     near = [(F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("n_links")] if links_too else []
@@ -458,11 +601,13 @@ def jaccard_components(
     least = rooted.groupBy("root").agg(F.min("d").alias("component_id"))
     links = ["n_links"] if links_too else []
     of_set = stage(rooted.join(least, "root").select("sid", "component_id", "root", *links), "jaccard-classes")
-    return sig.select("doc_id", "n_shingles", "sid").join(of_set, "sid", "left").select(
+    release(root)
+    rows = sig.select("doc_id", "n_shingles", "sid").join(of_set, "sid", "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.col("sid").alias("set_id"),
         F.coalesce("root", "sid").alias("root_id"),
         *[F.coalesce(c, F.lit(0)).alias(c) for c in links],
     )
+    return rows, [sig, of_set]
 
 
 def keep_one(docs: DataFrame, rule: Threshold = Threshold(), key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -471,12 +616,15 @@ def keep_one(docs: DataFrame, rule: Threshold = Threshold(), key: str = "doc_id"
     Rows that repeat a key are told apart by their sets: one of a component stays, and a row
     goes only if its own text is linked to another. Rows without a key stay.
     """
-    found = stage(jaccard_components(docs, rule, key, text).where("doc_id IS NOT NULL"), "jaccard-found")
+    rows, parts = _classes(docs, rule, key, text)
+    found = stage(rows.where("doc_id IS NOT NULL"), "jaccard-found")
+    release(*parts)
     again = stage(found.groupBy("doc_id").count().where("count > 1").select("doc_id"), "jaccard-again")
     gone = found.where("doc_id <> component_id").select("doc_id").union(again)  # those that repeat are looked at below
     gone = stage(gone.distinct().withColumnRenamed("doc_id", key), "jaccard-dropped")
     kept = limited_semi(docs, gone, key, "left_anti")
     if again.isEmpty():
+        release(found, again)
         return kept
     stays = limited_semi(found.where("doc_id = component_id"), again, "doc_id").groupBy("doc_id", "root_id")
     stays = stays.agg(F.min("set_id").alias("_set")).select(F.col("doc_id").alias(key), "_set").distinct()
