@@ -14,8 +14,7 @@ near the upper edge, the next one. A block's 64-bit XOR is one join key.
 * Linked sets agree on at least as many blocks as a set has filled ones, less the largest
   difference that its size and band allow. A set that shares fewer keys with all others
   together leaves its buckets before any pair is formed.
-* Candidates are stars, not pairs: each set of a bucket meets the bucket's smallest set,
-  first only the one it shares most keys with. Links contract into components; buckets that
+* Candidates are stars, not pairs: each set of a bucket meets the bucket's smallest set. Links contract into components; buckets that
   hold several of these meet around other members for a few rounds.
 * What then still holds several components is thinned by support: only shingles that sets of
   two components hold can be in a link that is still wanted. A set of n shingles, c of them
@@ -467,38 +466,28 @@ def link_sets(
         return own(stage(df, label))
 
     hubs = buckets.groupBy("key").agg(F.min("sid").alias("u"))  # one row a bucket
-    stars = buckets.join(hubs, "key").where("sid <> u").groupBy("u", F.col("sid").alias("v")).agg(F.count(F.lit(1)).alias("shared"))
-    stars = own(_screen(stars, sketches, wide, rule))
-    tested = keep(stars.groupBy("v").agg(F.max_by("u", F.struct("shared", "u")).alias("u")).select("u", "v"), "jaccard-first")
+    stars = buckets.join(hubs, "key").where("sid <> u").select("u", F.col("sid").alias("v")).distinct()
+    tested = own(_screen(stars, sketches, wide, rule))
     links = own(_verify(tested, texts, rule))
     root = keep(merged(links), "jaccard-roots")
 
-    more = keep(_apart(stars.select("u", "v"), root).join(tested, ["u", "v"], "left_anti"), "jaccard-more")
-    tested, links = tested.union(more), links.union(own(_verify(more, texts, rule)))
-    root = keep(merged(links), "jaccard-roots")
-
     for turn in range(HUB_ROUNDS):
         buckets = own(_open(buckets, root))
+        if buckets.isEmpty():
+            break
         hubs = buckets.groupBy("key").agg(F.min_by(F.struct("sid", "comp"), F.xxhash64("sid", "key", F.lit(turn))).alias("hub"))
         met = buckets.join(hubs, "key").where(F.col("comp") != F.col("hub.comp"))
         pairs = met.select(F.least("sid", "hub.sid").alias("u"), F.greatest("sid", "hub.sid").alias("v")).distinct()
         pairs = own(_screen(pairs, sketches, wide, rule))
         found = own(_verify(_untested(pairs, tested), texts, rule))
         tested = tested.union(pairs)
-        if found.isEmpty():
-            break
         links = links.union(found)
         root = keep(merged(links), "jaccard-roots")
 
-    left = _supported(own(_open(buckets, root)), texts, rule, keep)
-    left = keep(left.join(small(sketches, BROADCAST_ROWS).drop("n"), "sid"), "jaccard-left")
-    a, b = left.alias("a"), left.alias("b")
-    crossing = (F.col("a.key") == F.col("b.key")) & (F.col("a.sid") < F.col("b.sid")) & (F.col("a.comp") != F.col("b.comp"))
-    reached = (F.col("a.n") <= F.col("b.reach")) & (F.col("b.n") <= F.col("a.reach"))
-    pairs = a.join(b, crossing & reached & _near(rule))
-    pairs = pairs.select(F.col("a.sid").alias("u"), F.col("b.sid").alias("v"), F.col("a.n").alias("na"), F.col("b.n").alias("nb")).distinct()
-    pairs = own(_screen_wide(pairs, wide, rule))
-    found = own(components(links.union(own(_verify(_untested(pairs, tested), texts, rule)))))
+    left = own(_open(buckets, root))
+    if not left.isEmpty():
+        links = links.union(own(_pairwise(left, tested, texts, sketches, wide, rule, keep)))
+    found = own(components(links))
     if links_too:
         near = _count_links(texts, found, sig, rule)
         found = stage(found.join(near.withColumnRenamed("sid", "node"), "node"), "jaccard-counted")
@@ -509,6 +498,23 @@ def link_sets(
     return found
 
 
+def _pairwise(
+    left: DataFrame, tested: DataFrame, texts: DataFrame, sketches: DataFrame, wide: DataFrame, rule: Threshold, keep: Callable[[DataFrame, str], DataFrame]
+) -> DataFrame:
+    """Links between components that share an open bucket, of pairs that are not tested yet."""
+    left = _supported(left, texts, rule, keep)
+    left = keep(left.join(small(sketches, BROADCAST_ROWS).drop("n"), "sid"), "jaccard-left")
+    a, b = left.alias("a"), left.alias("b")
+    crossing = (F.col("a.key") == F.col("b.key")) & (F.col("a.sid") < F.col("b.sid")) & (F.col("a.comp") != F.col("b.comp"))
+    reached = (F.col("a.n") <= F.col("b.reach")) & (F.col("b.n") <= F.col("a.reach"))
+    pairs = a.join(b, crossing & reached & _near(rule))
+    pairs = pairs.select(F.col("a.sid").alias("u"), F.col("b.sid").alias("v"), F.col("a.n").alias("na"), F.col("b.n").alias("nb")).distinct()
+    screened = _screen_wide(pairs, wide, rule)
+    links = _verify(_untested(screened, tested), texts, rule)
+    release(screened)
+    return links
+
+
 def _supported(left: DataFrame, texts: DataFrame, rule: Threshold, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     """The rows (key, sid, comp, n, reach) of open buckets whose sets may still link to another component.
 
@@ -567,16 +573,6 @@ def _untested(pairs: DataFrame, tested: DataFrame) -> DataFrame:
     return pairs.join(known, ["u", "v"], "left_anti")
 
 
-def _apart(pairs: DataFrame, root: DataFrame) -> DataFrame:
-    """The pairs whose ends are in different components so far."""
-    a = root.select(F.col("node").alias("u"), F.col("root").alias("ru"))
-    b = root.select(F.col("node").alias("v"), F.col("root").alias("rv"))
-    return (
-        pairs.join(a, "u", "left").join(b, "v", "left")
-        .where(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v")
-    )
-
-
 def jaccard_components(
     docs: DataFrame, rule: Threshold = Threshold(), key: str = "doc_id", text: str = "text", links_too: bool = False
 ) -> DataFrame:
