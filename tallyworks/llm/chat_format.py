@@ -16,7 +16,8 @@ Everything is DataFrame code. Folding is dealt out by message; only the renderin
 output is one value a conversation, brings the turns of a conversation together.
 
 Edge cases: null texts and roles are empty; null conversation ids form one conversation; ties
-of ``seq`` are ordered by role and text; repeated rows are turns of their own if they have
+of ``seq`` within a message fold in the order message, regenerate, edit, delta (then by text),
+messages that began together go by role and text; an unknown operation appends; repeated rows are turns of their own if they have
 their own ``msg_id``; an empty table gives an empty result; extra columns are ignored.
 """
 
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 
 #: Control strings and escapes of the template (fixed values, in the order of escaping).
 OPEN, CLOSE, END = "<|turn:", "|>", "<|end|>"
+#: Operations that set the text, in the order in which ties of ``seq`` are folded; deltas follow (fixed values).
+SETTERS = ("message", "regenerate", "edit")
 ESCAPES = (("\\", "\\b"), ("<", "\\l"), (">", "\\g"), ("[", "\\s"))
 
 
@@ -50,23 +53,22 @@ def events_of_rows(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", r
     )
 
 
-def _live(events: DataFrame) -> DataFrame:
-    """Events of messages that no regeneration discards."""
-    again = events.where(F.col("op") == "regenerate").select("conv_id", "msg_id", F.col("seq").alias("r_seq"))
-    begun = events.groupBy("conv_id", "msg_id").agg(F.min("seq").alias("began"))
-    again = again.join(begun, ["conv_id", "msg_id"]).select("conv_id", F.col("began").alias("r_began"), "r_seq")
-    late = F.col("b.conv_id").eqNullSafe(F.col("r.conv_id")) & (F.col("b.began") > F.col("r.r_began")) & (F.col("b.began") < F.col("r.r_seq"))
-    gone = begun.alias("b").join(again.alias("r"), late, "left_semi").select("conv_id", "msg_id")
-    same = events["conv_id"].eqNullSafe(gone["conv_id"]) & events["msg_id"].eqNullSafe(gone["msg_id"])
-    return events.join(gone, same, "left_anti")
-
-
 def fold_messages(events: DataFrame) -> DataFrame:
-    """(conv_id, seq, role, text): the final messages. seq is that of the first event."""
-    step = F.struct("seq", "op", F.coalesce("text", F.lit("")).alias("text"), "role")
-    lists = _live(events).groupBy("conv_id", "msg_id").agg(F.array_sort(F.collect_list(step)).alias("steps"))
+    """(conv_id, seq, role, text): the final messages. seq is that of the first event.
+
+    A message is gone if an earlier one was regenerated after it began: a running maximum over
+    the messages of the conversation, in the order in which they began.
+    """
+    rank = F.array_position(F.array(*[F.lit(o) for o in SETTERS]), F.coalesce("op", F.lit("")))
+    step = F.struct("seq", F.when(rank > 0, rank).otherwise(len(SETTERS) + 1).alias("rank"), F.coalesce("text", F.lit("")).alias("text"), "role")
+    lists = events.groupBy("conv_id", "msg_id").agg(
+        F.array_sort(F.collect_list(step)).alias("steps"), F.min("seq").alias("began"),
+        F.max(F.when(F.col("op") == "regenerate", F.col("seq"))).alias("again"),
+    )
+    earlier = Window.partitionBy("conv_id").orderBy("began").rangeBetween(Window.unboundedPreceding, -1)
+    lists = lists.withColumn("redone", F.max("again").over(earlier)).where(F.col("redone").isNull() | (F.col("redone") <= F.col("began")))
     text = F.aggregate(
-        "steps", F.lit(""), lambda acc, e: F.when(e["op"] == "delta", F.concat(acc, e["text"])).otherwise(e["text"])
+        "steps", F.lit(""), lambda acc, e: F.when(e["rank"] > len(SETTERS), F.concat(acc, e["text"])).otherwise(e["text"])
     )
     roles = F.filter(F.transform("steps", lambda e: e["role"]), lambda r: r.isNotNull())
     return lists.select(

@@ -20,11 +20,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .labelled import fold
-from .store import limited_semi, stage
+from .store import stage
 
 #: Training texts of each language, and bytes of each dictionary, at most.
 TEXTS_A_LANGUAGE = 160
 DICTIONARY_BYTES = 48 << 10
+#: Bytes of one run of words that goes into a dictionary.
+PIECE_BYTES = 160
 #: Languages that one model holds at most (the dictionaries are broadcast).
 MOST_LANGUAGES = 500
 LEVEL = 6
@@ -39,6 +41,17 @@ def reduced(text: str) -> bytes:
     return b" ".join(text.lower().encode("utf-8", "surrogatepass").translate(_LETTERS).split())
 
 
+def spread(data: bytes, share: int) -> bytes:
+    """About ``share`` bytes of ``data``, in runs of whole words that lie evenly over all of it."""
+    if len(data) <= share:
+        return data
+    runs = []
+    for at in np.linspace(0, len(data) - PIECE_BYTES, max(1, share // PIECE_BYTES)).astype(int).tolist():
+        run = data[at : at + PIECE_BYTES]
+        runs.append(run[run.find(b" ") + 1 : run.rfind(b" ") if b" " in run.strip() else None])
+    return b" ".join(runs)
+
+
 @dataclass(frozen=True)
 class Dictionaries:
     """Raw dictionary content by language."""
@@ -76,20 +89,30 @@ def fit_dictionaries(
     docs: DataFrame, held_out: Column, lang: str = "lang", key: str = "doc_id", text: str = "text",
     texts: int = TEXTS_A_LANGUAGE, size: int = DICTIONARY_BYTES,
 ) -> Dictionaries:
-    """Dictionaries from at most ``texts`` training texts a language, taken by a hash of the key."""
+    """Dictionaries from at most ``texts`` training texts a language, taken by a hash of the key.
+
+    Of a text, runs of words spread evenly over its whole length are taken, twice its share of
+    ``size`` in all; equal contributions (copies) count once. A key with several texts has its smallest.
+    """
     rows = docs.where(F.col(lang).isNotNull() & ~held_out & F.col(key).isNotNull() & F.col(text).isNotNull())
-    order = Window.partitionBy(lang).orderBy(F.xxhash64(key, F.lit("dictionary")), key)
-    chosen = rows.select(F.col(key).alias("_k"), F.col(lang).alias("_l"), F.row_number().over(order).alias("_n"))
-    chosen = stage(chosen.where(F.col("_n") <= texts), "lang-sample")
-    if chosen.select("_l").distinct().limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
+    rows = rows.select(F.col(key).alias("k"), F.col(lang).cast("string").alias("l"), F.col(text).alias("t"))
+    order = Window.partitionBy("l").orderBy(F.xxhash64("k", F.lit("dictionary")), "k")
+    chosen = stage(rows.select("k", "l", F.row_number().over(order).alias("n")).where(F.col("n") <= texts), "lang-sample")
+    if chosen.select("l").distinct().limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages; raise MOST_LANGUAGES if dictionaries of all still fit a worker")
-    found = limited_semi(docs.select(F.col(key).alias("_k"), F.col(lang).alias("_l"), F.substring(text, 1, size).alias("_t")), chosen.select("_k"), "_k")
-    share = max(64, 4 * size // texts)
-    pieces: dict[str, list[bytes]] = {}
-    for r in found.join(F.broadcast(chosen.select("_k", "_n").distinct()), "_k").orderBy("_n", "_t").toLocalIterator():
-        data = reduced(r["_t"])[:share]
-        if r["_l"] is not None and sum(map(len, pieces.setdefault(r["_l"], []))) < size:
-            pieces[r["_l"]].append(data)
+    found = rows.join(F.broadcast(chosen.groupBy("k", "l").agg(F.min("n").alias("n"))), ["k", "l"])
+    found = found.groupBy("k", "l").agg(F.min("n").alias("n"), F.min("t").alias("t")).select("l", "n", "t")
+    share = max(64, 2 * size // texts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data = pa.array([spread(reduced(t), share) for t in batch.column(2).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), data], names=["l", "n", "data"])
+
+    taken = found.mapInArrow(run, "l string, n int, data binary").toArrow().sort_by([("l", "ascending"), ("n", "ascending"), ("data", "ascending")])
+    pieces: dict[str, dict[bytes, None]] = {}
+    for name, data in zip(taken.column("l").to_pylist(), taken.column("data").to_pylist(), strict=True):
+        pieces.setdefault(name, {}).setdefault(data)
     return Dictionaries({k: b" ".join(reversed(v))[-size:] for k, v in pieces.items() if any(v)})
 
 

@@ -18,11 +18,13 @@ below the rest.
 Edge cases: null and empty texts have no tokens, the prior as posterior, and count as one
 token; null keys hash like any constant; repeated rows share a rate; without labelled rows,
 or with an empty table, rates are 1; a target of 0 thins a domain as far as the posteriors
-allow; extra columns pass through.
+allow (such targets, that no rates meet, are approached slowly: the fit warns and tells its residual); extra columns pass through.
 """
 
 from __future__ import annotations
 
+import warnings
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,12 +34,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .store import limited_semi, stage
+from .store import free_name, limited_semi, stage
 from .wordhash import U, chunks, mix, salt, span_hashes, words
 
 #: Labelled rows that the domain classifier uses at most, and domains at most.
 MOST_LABELLED = 4_000
 MOST_DOMAINS = 64
+#: Domain of all labels beyond the MOST_DOMAINS - 1 most frequent ones.
+REST = "other domains"
 BITS = 11
 
 
@@ -90,11 +94,21 @@ def fit_softmax(x: np.ndarray, y: np.ndarray, domains: list[str], steps: int = 1
     return model
 
 
+def named_domains(labels: list[str], most: int = MOST_DOMAINS) -> list[str]:
+    """The labels, with all but the ``most`` - 1 most frequent ones as REST if there are more than ``most``."""
+    counts = Counter(labels)
+    if len(counts) <= most:
+        return labels
+    kept = set(sorted(counts, key=lambda d: (-counts[d], d))[: most - 1])
+    return [d if d in kept else REST for d in labels]
+
+
 def fit_domains(docs: DataFrame, table: DataFrame, label: str, most: int = MOST_LABELLED, key: str = "doc_id", text: str = "text") -> DomainModel:
     """Fit on at most ``most`` labelled rows of ``table`` (key, label), taken by a hash of the key."""
     rows = table.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(key).agg(F.min(F.col(label).cast("string")).alias("y"))
     rows = stage(rows.orderBy(F.xxhash64(key, F.lit("domains")), key).limit(most), "domain-sample")
-    texts = limited_semi(docs.select(key, text), rows.select(key), key).join(F.broadcast(rows), key).select(text, "y")
+    texts = limited_semi(docs.select(F.col(key), F.col(text).alias("t")), rows.select(key), key).groupBy(key).agg(F.min("t").alias("t"))
+    texts = texts.join(F.broadcast(rows), key).select("t", "y")  # one text a key, so the sample stays bounded
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -109,13 +123,12 @@ def fit_domains(docs: DataFrame, table: DataFrame, label: str, most: int = MOST_
                 )
 
     got = texts.mapInArrow(run, "y string, at binary, v binary").toArrow().sort_by([("y", "ascending"), ("at", "ascending"), ("v", "ascending")])
-    domains = sorted(set(got.column("y").to_pylist()))
-    if len(domains) > MOST_DOMAINS:
-        raise ValueError(f"more than {MOST_DOMAINS} domains among the labels")
+    labels = named_domains(got.column("y").to_pylist())
+    domains = sorted(set(labels))
     x = np.zeros((got.num_rows, 1 << BITS), np.float32)
     for i, (at, v) in enumerate(zip(got.column("at").to_pylist(), got.column("v").to_pylist(), strict=True)):
         x[i, np.frombuffer(at, np.int32)] = np.frombuffer(v, np.float32)
-    return fit_softmax(x, np.array([domains.index(d) for d in got.column("y").to_pylist()], np.int64), domains)
+    return fit_softmax(x, np.array([domains.index(d) for d in labels], np.int64), domains)
 
 
 def memberships(docs: DataFrame, model: DomainModel, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -170,6 +183,13 @@ class Mix:
     targets: np.ndarray
     totals: list[np.ndarray]
 
+    @property
+    def residual(self) -> float:
+        """The largest miss of a target, as a share of all expected tokens."""
+        if not len(self.targets):
+            return 0.0
+        return float(np.abs(self.totals[-1] - self.targets).max() / max(self.totals[0].sum(), 1e-9))
+
     def rate(self, p: str = "p") -> Column:
         """The rate as a column over posteriors: the same steps, in JVM code."""
         r = F.lit(1.0)
@@ -182,12 +202,16 @@ class Mix:
 def fit_rates(members: DataFrame, domains: list[str], weights: dict[str, float], budget: float | None = None, steps: int = 30, tolerance: float = 1e-3) -> Mix:
     """Rates whose expected domain totals meet ``weights`` (shares; missing domains have 0).
 
-    ``budget`` is the total of expected tokens afterwards, by default as many as there are.
+    ``budget`` is the total of expected tokens afterwards, by default as many as there are. A fit
+    that misses its targets (they may be out of reach) warns; ``Mix.residual`` tells by how much.
+    The weight of REST is its own, or that of all names that are no domain by themselves.
     """
     k = len(domains)
     path = np.zeros((0, k))
     if k == 0:
         return Mix(domains, path, np.zeros(0), [])
+    if REST in domains and REST not in weights:
+        weights = {**weights, REST: sum(w for d, w in weights.items() if d not in domains)}
     share = np.array([max(0.0, float(weights.get(d, 0.0))) for d in domains])
     totals, gram = _sum_over(members, path)
     all_tokens = totals.sum()
@@ -208,7 +232,10 @@ def fit_rates(members: DataFrame, domains: list[str], weights: dict[str, float],
             continue
         path = tried
         history.append(totals)
-    return Mix(domains, path, targets, history)
+    fit = Mix(domains, path, targets, history)
+    if fit.residual > tolerance:
+        warnings.warn(f"targets missed by up to {fit.residual:.2%} of all tokens after {len(path)} steps", stacklevel=2)
+    return fit
 
 
 def tempered(totals: dict[str, float], power: float) -> dict[str, float]:
@@ -251,14 +278,15 @@ def mix_documents(docs: DataFrame, table: DataFrame, label: str, power: float =
     now = _sum_over(members, np.zeros((0, len(model.domains))))[0]
     fit = fit_rates(members, model.domains, tempered(dict(zip(model.domains, now, strict=True)), power))
     shared, path, at = docs.sparkSession.sparkContext.broadcast(model), fit.path, docs.schema.fieldNames().index("text")
-    rated = StructType([*docs.schema.fields, StructField("_rate", DoubleType())])
+    rate, n, copy = (free_name(c, docs) for c in ("rate", "n", "copy"))
+    rated = StructType([*docs.schema.fields, StructField(rate, DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rates = [_rates(shared.value.posteriors(x).astype(np.float64), path) for _, x, _ in features(batch.column(at))]
             rates = pa.array(np.concatenate([*rates, np.zeros(0)]))
-            yield pa.RecordBatch.from_arrays([*batch.columns, rates], names=[*batch.schema.names, "_rate"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, rates], names=[*batch.schema.names, rate])
 
-    dealt = docs.mapInArrow(run, rated).withColumn("_n", copies(F.col("_rate"), F.col(key)))
-    once, more = dealt.where("_n >= 1"), F.explode(F.sequence(F.lit(1), F.col("_n")))
-    return once.withColumn("_copy", more).select(*docs.columns)
+    dealt = docs.mapInArrow(run, rated).withColumn(n, copies(F.col(rate), F.col(key)))
+    more = F.explode(F.sequence(F.lit(1), F.col(n)))
+    return dealt.where(F.col(n) >= 1).withColumn(copy, more).select(*docs.columns)

@@ -101,9 +101,18 @@ def statistics(column: pa.Array) -> np.ndarray:
     return np.concatenate(out)
 
 
+def stat_prefix(docs: DataFrame) -> str:
+    """``_stat_``, with underscores in front until no column of ``docs`` starts with it."""
+    prefix = "_stat_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix = f"_{prefix}"
+    return prefix
+
+
 def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with one column ``_stat_<name>`` for each statistic; one scan, no shuffle."""
-    names = [f"_stat_{s}" for s in STATISTICS]
+    """``docs`` with one column for each statistic, named by ``stat_prefix(docs)``; one scan, no shuffle."""
+    prefix = stat_prefix(docs)
+    names = [f"{prefix}{s}" for s in STATISTICS]
     schema = T.StructType([*docs.schema.fields, *[T.StructField(n, T.DoubleType()) for n in names]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,8 +136,8 @@ class Rule:
     def holds(self, x: np.ndarray) -> np.ndarray:
         return reduce(np.logical_and, [(x[:, f] > t) == up for f, up, t in self.terms])
 
-    def column(self) -> Column:
-        terms = [F.col(f"_stat_{STATISTICS[f]}") > F.lit(t) for f, _, t in self.terms]
+    def column(self, prefix: str = "_stat_") -> Column:
+        terms = [F.col(f"{prefix}{STATISTICS[f]}") > F.lit(t) for f, _, t in self.terms]
         return reduce(Column.__and__, [c if up else ~c for c, (_, up, _) in zip(terms, self.terms, strict=True)])
 
 
@@ -137,11 +146,11 @@ class RuleEnsemble:
     bias: float = 0.0
     rules: list[tuple[Rule, float]] = field(default_factory=list)
 
-    def score(self) -> Column:
+    def score(self, prefix: str = "_stat_") -> Column:
         """Probability of label 1, as a column over the statistics."""
         total = F.lit(float(self.bias))
         for rule, weight in self.rules:
-            total = total + F.when(rule.column(), F.lit(float(weight))).otherwise(F.lit(0.0))
+            total = total + F.when(rule.column(prefix), F.lit(float(weight))).otherwise(F.lit(0.0))
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
 
     def predict(self, x: np.ndarray) -> np.ndarray:
@@ -229,7 +238,7 @@ def fit_rules(
 def fit_quality(docs: DataFrame, labels: DataFrame, held_out: Column, label: str = "quality", most: int = MOST_LABELLED, key: str = "doc_id", text: str = "text") -> RuleEnsemble:
     """Fit on at most ``most`` labelled rows; only their statistics reach the driver."""
     sample = with_statistics(labelled_sample(docs, labels, label, held_out, most, key, text))
-    table = sample.drop("text", key).toArrow()
+    table = sample.select("y", *[f"_stat_{s}" for s in STATISTICS]).toArrow()
     x = np.column_stack([table.column(f"_stat_{s}").to_numpy() for s in STATISTICS])
     y = table.column("y").to_numpy()
     order = np.lexsort([*x.T, y])  # the order of the rows must not matter
@@ -246,4 +255,4 @@ def score_quality(docs: DataFrame, labels: DataFrame, folds: int = 5, fold_out:
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, folds: int = 5, fold_out: int = 0) -> DataFrame:
     """The rows of ``docs`` that score at least ``threshold``, columns unchanged."""
     model = fit_quality(docs, labels, fold("doc_id", folds) == F.lit(fold_out))
-    return with_statistics(docs).where(model.score() >= F.lit(threshold)).select(*docs.columns)
+    return with_statistics(docs).where(model.score(stat_prefix(docs)) >= F.lit(threshold)).select(*docs.columns)

@@ -44,7 +44,7 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_cnn_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = toxicity.score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    scored = toxicity.score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), lang="lang")
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 

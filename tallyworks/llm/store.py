@@ -64,3 +64,11 @@ def limited_semi(rows: DataFrame, ids: DataFrame, on: str | list[str], how: str
 def small(df: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
     """``df`` marked for broadcast if it has at most ``most`` rows, else as it is."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def free_name(name: str, *frames: DataFrame) -> str:
+    """``name``, with underscores in front until no column of ``frames`` has it (in any case)."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

@@ -4,7 +4,7 @@ A token's embedding is the sum of hashed embeddings of the whole word and of its
 and six bytes. Filters of several widths run over the token sequence, each keeps its maximum
 over the whole text, and a logistic layer weighs the maxima. The output is calibrated on
 labelled texts that the training did not use; thresholds for a wanted precision are found for
-each language there (they serve ``flag_by_language``; the score itself sees only the text).
+each language there (they decide a column of its own; the score itself sees only the text).
 
 Edge cases: null, empty and wordless texts have maxima of 0 and get the score that the bias
 gives; texts shorter than a filter are padded; repeated rows score alike; with one class only
@@ -19,14 +19,17 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .labelled import fold, labelled_sample
+from .store import release, stage
 from .wordhash import U, chunks, mix, salt, span_hashes, words
 
 #: Labelled rows that training and calibration use at most.
 MOST_LABELLED = 5_000
+#: Words of whole labelled texts that reach the driver at most; rows beyond are not used for the fit.
+MOST_WORDS = 8_000_000
 BUCKETS = 1 << 15
 DIM = 12
 WIDTHS = (1, 2, 3)
@@ -231,10 +234,12 @@ def language_thresholds(scores: np.ndarray, y: np.ndarray, langs: list[str | Non
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, label: str = "toxic", most: int = MOST_LABELLED, key: str = "doc_id", text: str = "text", lang: str | None = None) -> Model:
-    """Train on at most ``most`` labelled rows. The driver gets token buckets of whole texts."""
-    sample = labelled_sample(docs, labels, label, held_out, most, key, text)
-    if lang is not None:
-        sample = sample.join(docs.select(key, lang).dropDuplicates([key]), key)
+    """Train on at most ``most`` labelled rows and MOST_WORDS words; with ``lang``, find thresholds by language too.
+
+    The driver gets token buckets of whole texts (6 bytes a word), in the order of a hash of the key
+    until the bound on words is reached.
+    """
+    sample = labelled_sample(docs, labels, label, held_out, most, key, text, lang)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -244,9 +249,14 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, label: st
                 rest = [batch.column(i).slice(row, n) for i in (0, 2, 3)]
                 yield pa.RecordBatch.from_arrays([rest[0], pa.array(packed, pa.binary()), *rest[1:]], names=["k", "ids", "y", "lang"])
 
-    columns = [F.col(key), F.col("text"), F.col("y"), (F.col(lang) if lang else F.lit(None)).cast("string").alias("lang")]
+    columns = [F.col(key), F.col("text"), F.col("y"), (F.col("also") if lang else F.lit(None)).cast("string").alias("lang")]
     kind = sample.schema[key].dataType.simpleString()
-    table = sample.select(*columns).mapInArrow(run, f"k {kind}, ids binary, y double, lang string").toArrow().sort_by([("k", "ascending"), ("ids", "ascending")])
+    packed = stage(sample.select(*columns).mapInArrow(run, f"k {kind}, ids binary, y double, lang string"), "toxic-sample")
+    sizes = packed.select("k", (F.octet_length("ids") / F.lit(2 * len(_VIEWS))).alias("n"))  # at most ``most`` rows
+    upto = Window.orderBy(F.xxhash64("k", F.lit("sample")), "k").rowsBetween(Window.unboundedPreceding, 0)
+    fits = sizes.withColumn("sum", F.sum("n").over(upto)).where(F.col("sum") <= MOST_WORDS).select("k")
+    table = packed.join(F.broadcast(fits), "k").toArrow().sort_by([("k", "ascending"), ("ids", "ascending")])
+    release(packed)
     ids = [np.frombuffer(b, np.uint16).reshape(-1, len(_VIEWS)).astype(np.int32) for b in table.column("ids").to_pylist()]
     y = table.column("y").to_numpy()
     model = train(ids, y)
@@ -257,30 +267,45 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, label: st
     return model
 
 
-def score_texts(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key and score of every row: one scan of whole texts, no shuffle."""
+def score_texts(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", also: str | None = None) -> DataFrame:
+    """key and score of every row, and the column ``also`` as it is: one scan of whole texts, no shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), *([F.col(also).cast("string").alias("a")] if also else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, ids, first in token_ids(batch.column(1)):
                 scores = shared.value.score(shared.value.maxima(ids, first)[0])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(scores)), pa.array(scores.astype(np.float64))], names=[key, "score"])
+                passed = [batch.column(i).slice(row, len(scores)) for i in range(len(batch.columns)) if i != 1]
+                yield pa.RecordBatch.from_arrays([*passed, pa.array(scores.astype(np.float64))], names=out_names)
 
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key), F.col(text)).mapInArrow(run, f"{key} {kind}, score double")
+    out_names = ["k", *["a"] * bool(also), "score"]
+    kind = rows.schema["k"].dataType.simpleString()
+    scored = rows.mapInArrow(run, f"k {kind}, {'a string, ' * bool(also)}score double")
+    return scored.select(F.col("k").alias(key), *([F.col("a").alias(also)] if also else []), "score")
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, fold_out: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, held_out and score of every row."""
+def score_toxicity(
+    docs: DataFrame, labels: DataFrame, folds: int = 4, fold_out: int = 2, key: str = "doc_id", text: str = "text", lang: str | None = None
+) -> DataFrame:
+    """key, held_out and score of every row.
+
+    With ``lang``, also threshold and flagged: the score against the threshold calibrated for
+    the row's language. The score itself depends on the text only.
+    """
     held_out = fold(key, folds) == F.lit(fold_out)
-    model = fit_toxicity(docs, labels, held_out, key=key, text=text)
-    return score_texts(docs, model, key, text).select(key, held_out.alias("held_out"), "score")
+    model = fit_toxicity(docs, labels, held_out, key=key, text=text, lang=lang)
+    scored = score_texts(docs, model, key, text, lang)
+    more = []
+    if lang is not None:
+        scored = flag_by_language(scored, model, lang)
+        more = ["threshold", F.col("toxic").alias("flagged")]
+    return scored.select(key, held_out.alias("held_out"), "score", *more)
 
 
 def flag_by_language(scored: DataFrame, model: Model, lang: str = "lang", default: float = 0.3) -> DataFrame:
-    """``scored`` (with score and a language column) plus toxic: over its language's threshold."""
+    """``scored`` (with score and a language column) plus threshold, and toxic: at or over the threshold of its language."""
     level = F.lit(default)
     for name, value in sorted(model.thresholds.items()):
         level = F.when(F.col(lang) == F.lit(name), F.lit(value)).otherwise(level)
-    return scored.withColumn("toxic", F.col("score") >= level)
+    return scored.withColumn("threshold", level).withColumn("toxic", F.col("score") >= F.col("threshold"))

@@ -2,11 +2,15 @@
 
 import hashlib
 import math
+import random
 import re
+import struct
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -150,7 +154,8 @@ def test_decontamination(spark, corpus, docs, none):
         assert (r.n_words, r.n_hit, sorted(r["items"])) == (len(words), len(hit), sorted(items))
         assert sum(len(word(row[1][s.start : s.end])) for s in r.spans) == len(hit)
     kept = decontaminate.clean(docs, spark.createDataFrame(bench, "item_id long, text string"))
-    assert kept.columns == docs.columns and 7 not in {r.doc_id for r in kept.collect()} and 404 in {r.doc_id for r in kept.collect()}
+    assert kept.columns == docs.columns
+    assert Counter(r.doc_id for r in kept.collect()) == Counter(r[0] for r in corpus[0] if not found[r[0]].n_hit)
     empty = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.find_contamination(docs, empty).where("n_hit > 0").count() == 0
     assert decontaminate.find_contamination(none, empty).count() == 0
@@ -175,15 +180,48 @@ def test_sharding(docs, corpus, none):
     assert sharding.shard_documents(none).count() == 0
 
 
+def brute_shard(i, tree, appended=()):
+    """The descent in plain Python."""
+
+    def draw(node, weight):
+        h = xxhash.xxh64_intdigest(struct.pack("<q", node), xxhash.xxh64_intdigest(struct.pack("<q", i), 42))
+        return -math.log(((h >> 11) + 0.5) / 2**53) / weight
+
+    at, first = 0, None
+    for kind, fanout, weights in zip((1, 2, 3), (10**9, tree.racks_per_region, tree.shards_per_rack), tree.level_weights(), strict=True):
+        children = range(at * fanout, min(at * fanout + fanout, len(weights)))
+        best = min((draw((kind << 40) + c, weights[c]), c) for c in children)
+        first, at = first or best, best[1]
+    return min([(first[0], -1, at), *[(draw((4 << 40) + k, w), k, tree.shards + k) for k, w in enumerate(appended)]])[2]
+
+
+def shards_of(spark, n, tree):
+    rows = sharding.assign(spark.range(n).withColumn("text", F.lit("x")), tree, "id")
+    return {r.id: (r.shard, r.grown_shard) for r in rows.collect()}
+
+
+def test_tree_descends(spark):
+    """Placement is that of the descent, grown too, and not that of the smallest of all draws."""
+    for tree in (sharding.Tree(40), sharding.Tree(7, 2, 2, (1.0, 1.0, 4.0, 1.0, 1.0, 2.0, 0.5), (3.0,))):
+        got = shards_of(spark, 400, tree)
+        assert got == {i: (brute_shard(i, tree, tree.appended), brute_shard(i, tree, (*tree.appended, 1.0))) for i in range(400)}
+    flat = {i: min(range(40), key=lambda c: xxhash.xxh64_intdigest(struct.pack("<q", (3 << 40) + c), xxhash.xxh64_intdigest(struct.pack("<q", i), 42))) for i in range(400)}
+    assert sum(flat[i] != s for i, (s, _) in shards_of(spark, 400, sharding.Tree(40)).items()) > 300
+
+
 def test_weights_decide(spark):
     tree = sharding.Tree(6, 2, 2, (1.0, 1.0, 4.0, 1.0, 1.0, 2.0))
-    place = lambda df, t: df.select("id", sharding.draws(F.col("id"), t).alias("d")).select("id", sharding.descend("d", t).alias("s"))
-    rows = place(spark.range(20_000), tree).groupBy("s").count().collect()
-    for r in rows:
-        assert math.isclose(r["count"], 20_000 * tree.leaf_weights()[r.s] / 10, rel_tol=0.1)
-    heavier = sharding.Tree(6, 2, 2, (1.0, 1.0, 4.0, 1.0, 1.0, 3.0))
-    a, b = ({r.id: r.s for r in place(spark.range(5_000), t).collect()} for t in (tree, heavier))
-    assert {b[i] for i in a if a[i] != b[i]} == {5}
+    place = lambda n, t: {i: s for i, (s, _) in shards_of(spark, n, t).items()}
+    counts = Counter(place(20_000, tree).values())
+    for level, of in zip(tree.level_weights(), (4, 2, 1), strict=True):
+        for node, weight in enumerate(level):
+            assert math.isclose(sum(n for s, n in counts.items() if s // of == node), 2_000 * weight, rel_tol=0.1)
+    a, b = place(5_000, tree), place(5_000, sharding.Tree(6, 2, 2, (1.0, 1.0, 4.0, 1.0, 1.0, 3.0)))
+    assert all(b[i] // 4 == 1 for i in a if a[i] != b[i])  # into the region that grew only
+    assert all(b[i] == 5 for i in a if a[i] // 4 == 1 and a[i] != b[i])  # and inside it into the shard that grew
+    grown = shards_of(spark, 20_000, tree.grown(5.0).grown(5.0))
+    counts = Counter(s for s, _ in grown.values())
+    assert all(math.isclose(counts[s], 20_000 * 5 / 20, rel_tol=0.1) for s in (6, 7))
 
 
 def test_licenses(spark, corpus, none):
@@ -207,4 +245,39 @@ def test_licenses(spark, corpus, none):
             if shares and max(shares)[0] >= 0.8:
                 want[(i, name)] = (max(shares)[0], -max(shares)[1])
     assert got == want and len(want) >= 60
+    own = spark.createDataFrame([("own", " ".join(lines[4].split()[:20])), (None, "x"), ("empty", None)], "license string, text string")
+    assert {r.license for r in licenses.scan_licenses(docs, own).collect()} == {"own"}
+    worst = min(licenses.least_similarity(s) for s in range(1, 400))
+    assert worst == 0.5 and (1 - worst) ** len(licenses.band_seeds(list(range(1, 400)))) <= licenses.MISS
     assert licenses.scan_licenses(none).count() == 0
+
+
+def test_matcher_against_windows():
+    """Occurrences of whole windows, items shorter than a window and repeated words."""
+    rng = random.Random(3)
+    for _ in range(400):
+        width = rng.choice([1, 2, 3, 5, 10])
+        items = [(i, " ".join(rng.choices("abc", k=rng.randint(0, 14)))) for i in range(3)]
+        words = decontaminate.words_of(" ".join(rng.choices("abcz", [5, 5, 5, 1], k=rng.randint(0, 40))))
+        hit, ids = set(), set()
+        for item, text in items:
+            own = decontaminate.words_of(text)
+            n = min(width, len(own))
+            for k in range(len(own) - n + 1 if n else 0):
+                for i in range(len(words) - n + 1):
+                    if words[i : i + n] == own[k : k + n]:
+                        hit.update(range(i, i + n))
+                        ids.add(item)
+        found = decontaminate.Matcher(items, width).scan(words)
+        assert {x for a, b in decontaminate.hit_runs(found) for x in range(a, b)} == hit and {x for *_, x in found} == ids
+
+
+def test_long_sketches_fold():
+    rule, rng = ngram_jaccard.Threshold(5, 80, 100), np.random.default_rng(1)
+    a = np.unique(rng.integers(0, 1 << 63, 4000, dtype=np.uint64))
+    b = np.unique(np.concatenate([a[:3700], rng.integers(0, 1 << 63, 200, dtype=np.uint64)]))
+    long, same, short = (ngram_jaccard.wide_sketches([x], rule)[0] for x in (a, b, a[:40]))
+    assert short is None and 0 < ngram_jaccard.flips(long, same) <= len(np.setxor1d(a, b))
+    half = ngram_jaccard.parity_bits(b, np.array([len(b)]), len(long) // 2)[0]
+    assert ngram_jaccard.flips(long, half) == ngram_jaccard.flips(half, long) <= len(np.setxor1d(a, b))
+    assert ngram_jaccard.flips(long, ngram_jaccard.parity_bits(a, np.array([len(a)]), 8)[0]) == 0
