@@ -66,7 +66,7 @@ BITMAP_BITS = 26
 #: Sets and shingles, on average, in one part of a component whose links are counted.
 PART_SETS, PART_SHINGLES = 500, 500_000
 #: Rounds of stars around other members, and of thinning by support, before the pairwise round.
-HUB_ROUNDS, SUPPORT_ROUNDS = 2, 3
+HUB_ROUNDS, SUPPORT_ROUNDS = 1, 3
 
 
 @dataclass(frozen=True)
@@ -370,10 +370,9 @@ def _shared_buckets(sig: DataFrame, rule: Threshold) -> DataFrame:
     buckets = stage(rows.mapInArrow(marked, "key long, sid long, need long").join(shared, "key").distinct(), "jaccard-buckets")
     release(shared, copies)
     bitmap.unpersist()
-    for _ in range(2):  # each time a set leaves, others may share too little
-        buckets, before = stage(_enough(buckets), "jaccard-enough"), buckets
-        release(before)
-    return buckets
+    enough = stage(_enough(buckets), "jaccard-enough")
+    release(buckets)
+    return enough
 
 
 def _enough(buckets: DataFrame) -> DataFrame:
@@ -538,7 +537,8 @@ def _supported(left: DataFrame, texts: DataFrame, rule: Threshold, keep: Callabl
         if turn:  # n counts all shingles of a set, so it is the same in every round
             left = left.drop("n", "reach")
         reach = (F.floor(F.col("c") * F.lit(rule.num + rule.den) / F.lit(rule.num)) - F.col("n")).alias("reach")
-        sized = left.join(small(sizes.select("sid", "n", "c", reach).where("reach >= c").drop("c"), BROADCAST_ROWS), "sid")
+        sizes = keep(sizes.select("sid", "n", "c", reach).where("reach >= c").drop("c"), "jaccard-reach")
+        sized = left.join(small(sizes, BROADCAST_ROWS), "sid")
         sized = keep(sized, "jaccard-sized")
         by = sized.groupBy("key", "comp").agg(F.max("reach").alias("far"), F.min("n").alias("least"))
         best = by.groupBy("key").agg(F.max(F.struct("far", "comp")).alias("f"), F.min(F.struct("least", "comp")).alias("l"))
