@@ -26,7 +26,8 @@ def backoff_seconds(attempt: Column, jitter: Column | None = None, ordered: Colu
 
 
 def exponential_seconds(attempt: Column, base: float, cap: float) -> Column:
-    return F.least(F.lit(base) * F.pow(F.lit(2.0), attempt - 1), F.lit(cap))
+    """base, twice as much for every attempt after the first, up to cap; attempts count from 1."""
+    return F.least(F.lit(base) * F.pow(F.lit(2.0), F.greatest(attempt, F.lit(1)) - 1), F.lit(cap))
 
 
 def available_tokens(rate: Column, burst: Column, tokens: Column, refilled_at: Column, as_of: Column) -> Column:
@@ -71,18 +72,24 @@ def decode_json(text: str):
     return json.loads(text, parse_float=number, parse_int=number, parse_constant=lambda c: (_ for _ in ()).throw(ValueError(c)))
 
 
-def json_contains(have, want, top: bool = True) -> bool:
-    """Containment: objects by key, arrays without order and repetition, numbers by value.
+def json_contains(have, want) -> bool:
+    """Whether ``have`` contains ``want``: every member of ``want`` has its match, order and repetition aside.
 
-    At the top an array also contains a scalar element.
+    A scalar is also contained in an array of which it is an element, but only as the whole of ``want``.
     """
-    if isinstance(want, dict):
-        return isinstance(have, dict) and all(k in have and json_contains(have[k], v, False) for k, v in want.items())
-    if isinstance(want, list):
-        return isinstance(have, list) and all(any(json_contains(h, w, False) for h in have) for w in want)
+    if isinstance(have, list) and not isinstance(want, (list, dict)):
+        return any(_matches(h, want) for h in have)
+    return _matches(have, want)
+
+
+def _matches(have, want) -> bool:
+    if type(have) is not type(want):
+        return False
+    if isinstance(have, dict):
+        return want.keys() <= have.keys() and all(_matches(have[k], want[k]) for k in want)
     if isinstance(have, list):
-        return top and any(json_contains(h, want, False) for h in have if not isinstance(h, (list, dict)))
-    return type(have) is type(want) and have == want
+        return all(any(_matches(h, w) for h in have) for w in want)
+    return have == want
 
 
 def metadata_contains(column: str, wanted: dict) -> Column:
@@ -136,3 +143,67 @@ def visible(xid: Column, snapshot: Column) -> Column:
     """Whether a transaction is visible in a snapshot (xmin, xmax, xip)."""
     running = F.array_contains(snapshot["xip"], xid)
     return (xid < snapshot["xmin"]) | ((xid < snapshot["xmax"]) & ~running)
+
+
+def canonical_json_column(text: Column) -> Column:
+    """JSON text with sorted keys and without blanks, in the JVM; null for text that is no JSON."""
+    return F.to_json(F.try_parse_json(text))
+
+
+def period_start(ts: Column, seconds: int) -> Column:
+    """Start of the period that holds ``ts``; periods count from the first of January of the year 1."""
+    zero = 62_135_596_800 * 1_000_000
+    micros = F.unix_micros(ts.cast("timestamp")) + F.lit(zero)
+    return F.timestamp_micros(micros - F.pmod(micros, F.lit(seconds * 1_000_000)) - F.lit(zero)).cast("timestamp_ntz")
+
+
+def unique_key_column(args: Column | None = None, queue: Column | None = None, period: Column | None = None) -> Column:
+    """``unique_key`` over columns: JSON arguments, queue and the start of a period; over-long keys raise."""
+    parts = []
+    if args is not None:
+        parts.append(F.concat(F.lit("a="), canonical_json_column(args)))
+    if queue is not None:
+        parts.append(F.concat(F.lit("q="), queue))
+    if period is not None:
+        parts.append(F.concat(F.lit("p="), F.date_format(period, "yyyy-MM-dd'T'HH:mm:ss'Z'")))
+    key = F.concat_ws("\n", *parts) if parts else F.lit("*")
+    return F.when(F.octet_length(key) > MOST_KEY_BYTES, F.raise_error(F.lit(f"unique key over {MOST_KEY_BYTES} bytes"))).otherwise(key)
+
+
+def uuid7(at: Column, random_hex: Column) -> Column:
+    """A version 7 UUID: milliseconds of ``at``, then bits of ``random_hex`` (20 hex digits or more)."""
+    ms = F.lpad(F.lower(F.hex(F.floor(F.unix_micros(at.cast("timestamp")) / 1000).cast("long"))), 12, "0")
+    variant = F.lower(F.hex(F.conv(F.substring(random_hex, 4, 1), 16, 10).cast("int").bitwiseAND(F.lit(3)) + F.lit(8)))
+    return F.concat_ws(
+        "-", F.substring(ms, 1, 8), F.substring(ms, 9, 4), F.concat(F.lit("7"), F.substring(random_hex, 1, 3)),
+        F.concat(variant, F.substring(random_hex, 5, 3)), F.substring(random_hex, 8, 12),
+    )
+
+
+def small_int(value: Column) -> Column:
+    """``value`` as a 16-bit integer; others raise."""
+    fits = value.between(-(1 << 15), (1 << 15) - 1)
+    return F.when(value.isNull() | fits, value.cast("short")).otherwise(F.raise_error(F.lit("not a 16-bit integer")))
+
+
+def clean_tags(tags: Column) -> Column:
+    """The distinct non-empty tags in their order; null for none."""
+    kept = F.filter(F.array_distinct(tags), lambda t: t.isNotNull() & (t != ""))
+    return F.when(F.size(kept) > 0, kept)
+
+
+def merged_objects(first: Column, second: Column) -> Column:
+    """JSON objects merged at the top level, the second one's members winning, in canonical form; null is empty."""
+    a, b = (F.coalesce(F.from_json(c, "map<string, variant>"), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<variant>"))) for c in (first, second))
+    return canonical_json_column(F.to_json(F.map_concat(F.map_filter(a, lambda k, _: ~F.array_contains(F.map_keys(b), k)), b)))
+
+
+def position_text(xid: Column, seq: Column) -> Column:
+    """A log position as text, ``xid:seq``."""
+    return F.concat_ws(":", xid.cast("string"), seq.cast("string"))
+
+
+def parse_position(text: Column) -> Column:
+    """(xid, seq) of a position's text; null if it is none."""
+    parts = F.when(F.regexp_like(text, F.lit(r"^\d{1,18}:\d{1,18}$")), F.split(text, ":"))
+    return F.when(parts.isNotNull(), F.struct(F.get(parts, F.lit(0)).cast("long").alias("xid"), F.get(parts, F.lit(1)).cast("long").alias("seq")))

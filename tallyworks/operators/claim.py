@@ -9,6 +9,8 @@ from ..functions.scalars import available_tokens
 from ..sources.ledger import WAITING
 
 ORDER = ("priority", "scheduled_at", "seq")
+#: Jobs that one claim takes at most.
+MOST_CLAIMED = 512
 
 
 def at(as_of: str) -> Column:
@@ -108,13 +110,43 @@ def claim_limited(jobs: DataFrame, queues: DataFrame, limit: int, as_of: str) ->
     return ready.join(own, "queue", "left").where(F.col("position") <= F.coalesce("budget", F.lit(limit))).drop("budget")
 
 
-def aging(jobs: DataFrame, seconds: int, as_of: str) -> DataFrame:
-    """Jobs that wait longer than ``seconds``: one priority higher, scheduled now."""
-    old = F.col("state").isin(*WAITING) & (F.col("priority") > 1) & (F.col("scheduled_at") < at(as_of) - F.make_dt_interval(secs=F.lit(seconds)))
+def aging(jobs: DataFrame, seconds: int, as_of: str, queue: str | None = None) -> DataFrame:
+    """Jobs (of a queue) that wait ``seconds`` or longer: one priority higher, scheduled now; 0 seconds age nothing."""
+    if queue is not None:
+        jobs = jobs.where(F.col("queue") == queue)
+    if seconds <= 0:
+        jobs = jobs.limit(0)
+    old = F.col("state").isin(*WAITING) & (F.col("priority") > 1) & (F.col("scheduled_at") <= at(as_of) - F.make_dt_interval(secs=F.lit(seconds)))
     return jobs.where(old).withColumn("priority", F.col("priority") - 1).withColumn("scheduled_at", at(as_of))
 
 
 def wake_lane(jobs: DataFrame, queue: str, ordering_key: str, most: int, as_of: str) -> DataFrame:
-    """The first ``most`` scheduled or retryable jobs of a lane, made available now."""
+    """The first ``most`` scheduled or retryable jobs of a lane, made available now; those past their time to live stay."""
     lane = (F.col("queue") == queue) & (F.col("ordering_key") == ordering_key) & F.col("state").isin("scheduled", "retryable")
+    lane = lane & (F.col("expires_at").isNull() | (F.col("expires_at") > at(as_of)))
     return jobs.where(lane).orderBy("seq").limit(most).withColumns({"state": F.lit("available"), "scheduled_at": F.least("scheduled_at", at(as_of))})
+
+
+def mark_lane(jobs: DataFrame, queue: str, ordering_key: str, as_of: str) -> DataFrame:
+    """(id, wake_requested_at) of the lane's running jobs: they are woken when their attempt ends."""
+    lane = (F.col("queue") == queue) & (F.col("ordering_key") == ordering_key) & (F.col("state") == "running")
+    return jobs.where(lane).select("id", at(as_of).alias("wake_requested_at"))
+
+
+def clamped(limit: int) -> int:
+    """A claim's limit, from 1 to MOST_CLAIMED."""
+    return max(1, min(limit, MOST_CLAIMED))
+
+
+def spend_tokens(queues: DataFrame, budgets: DataFrame, claimed: DataFrame, as_of: str) -> DataFrame:
+    """Queues after a limited claim: the bucket holds what was available less what was claimed, as of now.
+
+    Queues without a rate keep their row; a claim of nothing refills only.
+    """
+    taken = claimed.groupBy(F.col("queue").alias("name")).agg(F.count(F.lit(1)).alias("taken"))
+    rows = queues.join(budgets.select("name", "available"), "name", "left").join(taken, "name", "left")
+    rated = F.col("available").isNotNull()
+    left = F.greatest(F.col("available") - F.coalesce("taken", F.lit(0)), F.lit(0.0))
+    return rows.withColumns(
+        {"tokens": F.when(rated, left).otherwise(F.col("tokens")), "refilled_at": F.when(rated, at(as_of)).otherwise(F.col("refilled_at"))}
+    ).select(*queues.columns)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import metadata_contains, valid_tags
@@ -93,3 +93,58 @@ def read_log(logs: DataFrame, offset: int, size: int, column: str = "text") -> D
 def unpack_logs(jobs: DataFrame, logs: str = "logs") -> DataFrame:
     """One row for each log entry of each job, with its position."""
     return jobs.select("id", F.posexplode(logs).alias("position", "log"))
+
+
+def by_ids(jobs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Jobs of a parameter table (id, n), in the order n of the parameters; an unknown id gives a row of nulls."""
+    return ids.join(jobs, "id", "left").orderBy("n")
+
+
+def find_job(live_jobs: DataFrame, finished: DataFrame, job_id: int) -> DataFrame:
+    """One job, live or finished; the live row wins while a job is on its way to history."""
+    both = everything(live_jobs.withColumn("rank", F.lit(0)), finished.withColumn("rank", F.lit(1))).where(F.col("id") == job_id)
+    return both.orderBy("rank").limit(1).drop("rank")
+
+
+def sweep(jobs: DataFrame, size: int):
+    """Pages of at most ``size`` jobs by id until none is left; each page is read after the one before."""
+    after = None
+    while True:
+        rows = page(jobs, size, after).checkpoint()
+        last = rows.agg(F.max("id")).first()[0]
+        if last is None:
+            return
+        yield rows
+        after = last
+
+
+def newest_per_tag(jobs: DataFrame, tags: tuple[str, ...], n: int) -> DataFrame:
+    """Jobs that are among the ``n`` newest of any of the tags, each once (a group limit runs before the shuffle)."""
+    rows = jobs.select("id", F.explode("tags").alias("tag")).where(F.col("tag").isin(*tags)).distinct()
+    order = Window.partitionBy("tag").orderBy(F.col("id").desc())
+    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).select("id").distinct()
+
+
+def tag_rows(jobs: DataFrame) -> DataFrame:
+    """(id, tag, ordinality): one row for each tag, with its place from 1."""
+    return jobs.select("id", F.posexplode("tags").alias("place", "tag")).select("id", "tag", (F.col("place") + 1).alias("ordinality"))
+
+
+def bounded_count(rows: DataFrame, most: int) -> int:
+    """The number of rows, or ``most`` + 1 if there are more; scans no further than that."""
+    return rows.limit(most + 1).count()
+
+
+def latest_logs(jobs: DataFrame, keep: int, logs: str = "logs") -> DataFrame:
+    """(id, attempt, log): the last entry of each attempt, for the last ``keep`` attempts of each job."""
+    entries = unpack_logs(jobs, logs).select("id", "position", "log.attempt", "log.log")
+    last = entries.groupBy("id", "attempt").agg(F.max_by("log", "position").alias("log"))
+    order = Window.partitionBy("id").orderBy(F.col("attempt").desc())
+    return last.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= keep).drop("rank")
+
+
+def keyed_live(live_jobs: DataFrame, edges: DataFrame, keys: DataFrame) -> DataFrame:
+    """(kind, unique_key, id, state, held): live jobs of the keys; held ones wait for an edge."""
+    held = edges.select(F.col("job_id").alias("id"), F.lit(True).alias("held")).distinct()
+    rows = live_jobs.join(keys.select("kind", "unique_key").distinct(), ["kind", "unique_key"], "left_semi").join(held, "id", "left")
+    return rows.select("kind", "unique_key", "id", "state", F.coalesce("held", F.lit(False)).alias("held"))

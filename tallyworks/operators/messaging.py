@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import visible
+from ..functions.scalars import merged_objects, position_text, visible
 from ..functions.topics import topic_matches
 
 #: Attempts of plain and of ordered deliveries (fixed values).
 ATTEMPTS, ORDERED_ATTEMPTS = 25, 10
-#: Patterns that one scan tests; more go through an equi-join for plain topics.
+#: Patterns that one projection tests. Beyond it, plain topics go through an equi-join, patterns with wildcards in parts.
 MOST_PATTERNS = 200
 
 
@@ -21,10 +21,16 @@ def fan_out(events: DataFrame, subscriptions: list[tuple]) -> DataFrame:
     log: an array of the matching ones, exploded. No join and no shuffle at any size of log.
     """
     if len(subscriptions) > MOST_PATTERNS:
-        parts = [subscriptions[i : i + MOST_PATTERNS] for i in range(0, len(subscriptions), MOST_PATTERNS)]
-        out = fan_out(events, parts[0])
-        for part in parts[1:]:
-            out = out.unionByName(fan_out(events, part))
+        plain = [s for s in subscriptions if not set("*#") & set(s[1])]
+        wild = [s for s in subscriptions if set("*#") & set(s[1])]
+        schema = "subscription string, topic string, kind string, queue string, ordered boolean"
+        exact = events.sparkSession.createDataFrame([tuple(s[:5]) for s in plain], schema)
+        attempts = F.when(F.col("ordered"), ORDERED_ATTEMPTS).otherwise(ATTEMPTS).alias("max_attempts")
+        out = events.join(exact, "topic").select(
+            "xid", "seq", "topic", "subscription", "kind", "queue", attempts, F.when(F.col("ordered"), F.col("key")).alias("ordering_key")
+        )
+        for i in range(0, len(wild), MOST_PATTERNS):
+            out = out.unionByName(fan_out(events, wild[i : i + MOST_PATTERNS]))
         return out
 
     def delivery(name: str, pattern: str, kind: str, queue: str, ordered: bool) -> Column:
@@ -83,3 +89,49 @@ def seek(events: DataFrame, position: tuple[int, int] | None = None, since: str
     if latest:
         return events.agg(F.max(F.struct("xid", "seq")).alias("p")).select("p.xid", "p.seq")
     return events.sparkSession.createDataFrame([(0, 0)], "xid long, seq long")
+
+
+def publish(events: DataFrame, subscriptions: list[tuple], metadata: dict[str, str], delay_seconds: int, ttl_seconds: int, as_of: str) -> DataFrame:
+    """Deliveries of a publish: delayed, with a time to live, a unique key ``msg:<id>`` and merged metadata.
+
+    ``events`` have message_id and headers (JSON); ``metadata`` holds JSON by subscription. Members of the
+    event's headers win over those of the subscription. A delivery is available at once without a delay.
+    """
+    now = F.lit(as_of).cast("timestamp_ntz")
+    rows = fan_out(events, subscriptions).join(events.select("xid", "seq", "message_id", "headers"), ["xid", "seq"])
+    own = F.create_map(*[F.lit(x) for kv in sorted(metadata.items()) for x in kv]) if metadata else None
+    base = F.try_element_at(own, F.col("subscription")) if own is not None else F.lit(None).cast("string")
+    starts = now + F.make_dt_interval(secs=F.lit(delay_seconds))
+    return deduplicated(rows, "message_id").withColumns(
+        {
+            "state": F.lit("scheduled" if delay_seconds > 0 else "available"), "scheduled_at": starts,
+            "expires_at": starts + F.make_dt_interval(secs=F.lit(ttl_seconds)) if ttl_seconds > 0 else F.lit(None).cast("timestamp_ntz"),
+            "metadata": merged_objects(base, F.col("headers")),
+        }
+    )
+
+
+def publish_counts(deliveries: DataFrame, live: DataFrame) -> DataFrame:
+    """(subscription, inserted, duplicates) of a publish against live jobs (kind, unique_key)."""
+    held = live.where("unique_key IS NOT NULL").select("kind", "unique_key").distinct().withColumn("held", F.lit(True))
+    rows = deliveries.join(held, ["kind", "unique_key"], "left")
+    first = F.count_if(F.col("held").isNull())
+    return rows.groupBy("subscription").agg(first.alias("inserted"), F.count_if(F.col("held")).alias("duplicates"))
+
+
+def deliver(events: DataFrame, consumer: str, kind: str, ordered: bool, headers: str = "headers", metadata: str | None = None) -> DataFrame:
+    """Jobs of pumped events: events of one key keep their order in a lane of the consumer.
+
+    Unlike in ``publish``, members of the consumer's metadata win over those of the event.
+    """
+    lane = F.when(F.lit(ordered) & F.col("key").isNotNull(), F.concat(F.lit(f"{consumer}:"), F.col("key")))
+    return events.select(
+        "xid", "seq", F.lit(kind).alias("kind"), lane.alias("ordering_key"), F.concat(F.lit(f"stream:{consumer}:"), position_text(F.col("xid"), F.col("seq"))).alias("unique_key"),
+        merged_objects(F.col(headers), F.lit(metadata)).alias("metadata"),
+    )
+
+
+def days_to_drop(events: DataFrame, keep_days: int, as_of: str) -> DataFrame:
+    """(day, n): whole days of the log that are past ``keep_days``."""
+    days = events.groupBy(F.to_date("created_at").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    return days.where(F.date_add("day", 1).cast("timestamp_ntz") <= F.lit(as_of).cast("timestamp_ntz") - F.make_dt_interval(days=F.lit(keep_days)))

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.ledger import WAITING
 from .claim import at
 
 
 def depth(jobs: DataFrame, as_of: str) -> DataFrame:
-    """(queue, state, n, oldest_due_seconds) of live jobs."""
+    """(queue, state, n, oldest_due_seconds) of live jobs; only waiting ones can be due."""
     age = (F.unix_micros(at(as_of).cast("timestamp")) - F.unix_micros(F.col("scheduled_at").cast("timestamp"))) / 1e6
-    oldest = F.max(F.when(F.col("scheduled_at") <= at(as_of), age))
+    oldest = F.max(F.when(F.col("state").isin(*WAITING) & (F.col("scheduled_at") <= at(as_of)), age))
     return jobs.groupBy("queue", "state").agg(F.count(F.lit(1)).alias("n"), oldest.alias("oldest_due_seconds"))
 
 
@@ -41,13 +42,18 @@ def queue_stats(jobs: DataFrame, queues: DataFrame, as_of: str) -> DataFrame:
 def nearest_index(rows: DataFrame, group: str, value: str) -> DataFrame:
     """p50 = a[n/2], p99 = a[n*99/100] and max of the sorted values of each group.
 
-    Ranks come from counts of equal values, so a hot group is reduced before any sort:
-    the running count at a value tells whether it covers an index.
+    Equal values are counted first. Counts are range-partitioned by (group, value), so a hot
+    group is spread over many tasks; sums by partition and group tell each partition how much
+    lies before it, and the running count at a value tells whether it covers an index.
     """
     counts = rows.groupBy(group, value).agg(F.count(F.lit(1)).alias("c"))
+    ranged = counts.repartitionByRange(F.col(group), F.col(value)).withColumn("_part", F.spark_partition_id()).checkpoint()
+    sums = ranged.groupBy(group, "_part").agg(F.sum("c").alias("s"))
+    parts = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(group, "_part", F.coalesce(F.sum("s").over(parts), F.lit(0)).alias("_before"))
     totals = counts.groupBy(group).agg(F.sum("c").alias("n"), F.max(value).alias("max_value"))
-    order = Window.partitionBy(group).orderBy(value)
-    ranked = counts.withColumn("upto", F.sum("c").over(order)).join(totals, group)
+    inside = F.sum("c").over(Window.partitionBy(group, "_part").orderBy(value))
+    ranked = ranged.withColumn("_in", inside).join(starts, [group, "_part"]).withColumn("upto", F.col("_before") + F.col("_in")).join(totals, group)
     at_index = lambda k: (F.col("upto") - F.col("c") <= k) & (k < F.col("upto"))
     half, most = F.floor(F.col("n") / 2), F.floor(F.col("n") * 99 / 100)
     return ranked.groupBy(group).agg(
@@ -85,3 +91,36 @@ def log_totals(runs: DataFrame) -> DataFrame:
 def bench_lines(lines: DataFrame, schema: str) -> DataFrame:
     """JSON objects among text lines; other lines are skipped."""
     return lines.where(F.col("value").startswith("{")).select(F.from_json("value", schema).alias("r")).select("r.*")
+
+
+def cluster(clients: DataFrame, leaders: DataFrame, as_of: str) -> DataFrame:
+    """(live_clients, leader): clients whose lease holds, and the leader of the default group (0 for none)."""
+    now = at(as_of)
+    alive = clients.agg(F.count_if(F.col("expires_at") > now).alias("live_clients"), F.lit(1).alias("one"))
+    lead = leaders.agg(F.max(F.when((F.col("name") == "default") & (F.col("expires_at") > now), F.col("client_id"))).alias("leader"), F.lit(1).alias("one"))
+    return alive.join(lead, "one").select("live_clients", F.coalesce("leader", F.lit(0)).alias("leader"))
+
+
+def as_object(rows: DataFrame, group: str, name: str, value: str) -> DataFrame:
+    """(group, object): one JSON object a group, with sorted names."""
+    entries = F.array_sort(F.collect_list(F.struct(F.col(name).cast("string").alias("key"), F.col(value).alias("value"))))
+    return rows.groupBy(group).agg(F.to_json(F.map_from_entries(entries)).alias("object"))
+
+
+def joined_text(rows: DataFrame, group: str, value: str, separator: str = ",") -> DataFrame:
+    """(group, text): the distinct values of a group in order, as one text."""
+    return rows.groupBy(group).agg(F.array_join(F.array_sort(F.collect_set(value)), separator).alias("text"))
+
+
+def per_day(rows: DataFrame, column: str, first: str, last: str) -> DataFrame:
+    """(day, n) for every day of a range, days without rows too."""
+    spark = rows.sparkSession
+    days = spark.range(1).select(F.explode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"))).alias("day"))
+    counts = rows.groupBy(F.to_date(column).alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    return days.join(counts, "day", "left").select("day", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def batch_counts(finished: DataFrame) -> DataFrame:
+    """(batch_id, done, failed) that one finalize adds to the progress of its batches."""
+    ends = finished.where("batch_id IS NOT NULL").groupBy("batch_id")
+    return ends.agg(F.count(F.lit(1)).alias("done"), F.count_if(F.col("state") != "completed").alias("failed"))

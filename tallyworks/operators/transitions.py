@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import backoff_seconds
@@ -29,7 +29,7 @@ def outcome() -> Column:
 
 
 def finalize(jobs: DataFrame, results: DataFrame, as_of: str) -> tuple[DataFrame, DataFrame]:
-    """(live, history) after results (id, attempted_by, fence, to_state, delay_seconds, give_back, error).
+    """(live, history) after results (id, attempted_by, fence, to_state, delay_seconds, give_back).
 
     A result applies to the running attempt of its client and fence only; a stale one changes
     nothing. Retries and snoozes stay live with their delay, ends move to history.
@@ -71,23 +71,61 @@ def delete(jobs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     return jobs.join(asked.join(refused, "id", "left_anti"), "id", "left_anti"), refused
 
 
-def retry(jobs: DataFrame, ids: DataFrame, as_of: str) -> DataFrame:
+def retry(jobs: DataFrame, ids: DataFrame, as_of: str, first_seq: int | None = None) -> DataFrame:
     """Retried jobs: available at once, time to live cleared; exhausted ones may try once more.
 
-    A finished job does not return while a live one has its unique key.
+    A finished job does not return while a live one has its unique key; of several finished ones
+    of a key the smallest id returns (``retry_conflicts`` lists the others). Returning jobs get
+    a fresh seq, from ``first_seq`` on (by default after the largest).
     """
     rows = jobs.join(ids.select("id").distinct(), "id", "left_semi").where("state <> 'running'")
-    live = jobs.where(~F.col("state").isin(*FINISHED) & F.col("unique_key").isNotNull()).select("kind", "unique_key").distinct()
-    finished = rows.where(F.col("state").isin(*FINISHED)).join(live, ["kind", "unique_key"], "left_anti").select(*jobs.columns)
-    rows = rows.where(F.col("state").isin(*WAITING, "pending")).unionByName(finished)
-    spent = F.col("state").isin(*FINISHED) & (F.col("attempt") >= F.col("max_attempts"))
-    return rows.withColumns(
+    live, finished = rows.where(F.col("state").isin(*WAITING, "pending")), _returning(jobs, rows)
+    spent = F.col("attempt") >= F.col("max_attempts")
+    start = F.lit(first_seq) if first_seq is not None else F.lit(jobs.agg(F.max("seq")).first()[0] or 0) + 1
+    back = with_positions(finished, "id", "_at").withColumns(
         {
             "max_attempts": F.when(spent, F.col("attempt") + 1).otherwise(F.col("max_attempts")),
-            "scheduled_at": F.when(F.col("state").isin(*FINISHED), at(as_of)).otherwise(F.least("scheduled_at", at(as_of))),
-            "expires_at": F.lit(None).cast("timestamp_ntz"), "finalized_at": F.lit(None).cast("timestamp_ntz"), "state": F.lit("available"),
+            "seq": start + F.col("_at"), "scheduled_at": at(as_of),
         }
-    )
+    ).select(*jobs.columns)
+    now = live.withColumn("scheduled_at", F.least("scheduled_at", at(as_of))).unionByName(back)
+    none = F.lit(None).cast("timestamp_ntz")
+    return now.withColumns({"expires_at": none, "finalized_at": none, "state": F.lit("available")})
+
+
+def _returning(jobs: DataFrame, asked: DataFrame) -> DataFrame:
+    """The asked-for finished jobs that may go live: no live job has their key, and one for each key."""
+    held = jobs.where(~F.col("state").isin(*FINISHED) & F.col("unique_key").isNotNull()).select("kind", "unique_key").distinct()
+    finished = asked.where(F.col("state").isin(*FINISHED))
+    keyed = finished.where("unique_key IS NOT NULL").join(held, ["kind", "unique_key"], "left_anti")
+    first = keyed.groupBy("kind", "unique_key").agg(F.min("id").alias("id")).select("id")
+    return finished.where("unique_key IS NULL").unionByName(finished.join(first, "id", "left_semi"))
+
+
+def retry_conflicts(jobs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id) of the finished jobs that a retry refuses, as another job holds or takes their unique key."""
+    asked = jobs.join(ids.select("id").distinct(), "id", "left_semi")
+    return asked.where(F.col("state").isin(*FINISHED)).join(_returning(jobs, asked).select("id"), "id", "left_anti").select("id")
+
+
+def with_positions(rows: DataFrame, by: str, name: str) -> DataFrame:
+    """``rows`` with gapless positions from 0 in the order of ``by``.
+
+    Rows are range-partitioned and numbered inside each partition; one count a partition
+    gives where each starts, so no task sorts all rows.
+    """
+    ranged = rows.repartitionByRange(F.col(by)).withColumn("_part", F.spark_partition_id()).checkpoint()
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(by)) - 1
+    return ranged.join(F.broadcast(starts.drop("_n")), "_part").withColumn(name, F.col("_start") + inside).drop("_part", "_start")
+
+
+def cancel_rows(jobs: DataFrame, ids: DataFrame, as_of: str) -> tuple[DataFrame, DataFrame]:
+    """(live, history) after a cancel: waiting jobs end as canceled, running ones are only asked (see ``cancel``)."""
+    waiting = jobs.where(~F.col("state").isin(*FINISHED, "running")).join(ids.select("id").distinct(), "id", "left_semi")
+    done = waiting.withColumns({"state": F.lit("canceled"), "finalized_at": at(as_of)})
+    return jobs.join(waiting.select("id"), "id", "left_anti"), done
 
 
 def discard_expired(expired: DataFrame, as_of: str) -> DataFrame:
@@ -118,3 +156,38 @@ def violations(live: DataFrame, finished: DataFrame) -> DataFrame:
         one = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(rule).alias("rule"), "n").where("n > 0")
         out = one if out is None else out.union(one)
     return out
+
+
+def finalize_rows(jobs: DataFrame, results: DataFrame, as_of: str, keep_errors: int = 10) -> tuple[DataFrame, DataFrame]:
+    """``finalize`` with what an attempt leaves behind.
+
+    ``results`` have error, output and reason too, ``jobs`` errors (a list of (attempt, error)),
+    output, snooze_reason and wake_requested_at. An error is appended, the last ``keep_errors``
+    stay; a finished job keeps its output; a snoozed one shows its reason while it is scheduled;
+    a job that was asked to wake during its attempt waits no longer.
+    """
+    told = results.select("id", "attempted_by", "fence", "error", F.col("output").alias("new_output"), "reason")
+    hit = (F.col("state") == "running") & F.col("answered")
+    entry = F.array(F.struct(F.col("attempt").alias("attempt"), F.col("error").alias("error")))
+    both = F.concat(F.coalesce("errors", F.array().cast("array<struct<attempt: int, error: string>>")), entry)
+    kept = F.slice(both, F.greatest(F.size(both) - keep_errors + 1, F.lit(1)), keep_errors)
+    rows = jobs.join(told.withColumn("answered", F.lit(True)), ["id", "attempted_by", "fence"], "left").withColumns(
+        {
+            "errors": F.when(hit & F.col("error").isNotNull(), kept).otherwise(F.col("errors")),
+            "output": F.when(hit, F.col("new_output")).otherwise(F.col("output")),
+            "snooze_reason": F.when(hit, F.col("reason")).otherwise(F.col("snooze_reason")),
+        }
+    ).select(*jobs.columns)
+    live, done = finalize(rows, results, as_of)
+    waits = F.col("state").isin("scheduled", "retryable")
+    woken = waits & F.col("wake_requested_at").isNotNull()
+    live = live.withColumns(
+        {
+            "snooze_reason": F.when((F.col("state") == "scheduled") & ~woken, F.col("snooze_reason")),
+            "scheduled_at": F.when(woken, F.least("scheduled_at", at(as_of))).otherwise(F.col("scheduled_at")),
+            "state": F.when(woken, "available").otherwise(F.col("state")),
+            "wake_requested_at": F.when(F.col("state") == "running", F.col("wake_requested_at")),
+            "output": F.lit(None).cast("string"),
+        }
+    )
+    return live, done.drop("snooze_reason", "wake_requested_at")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -14,7 +14,7 @@ def in_batch(rows: DataFrame) -> DataFrame:
     """
     first = rows.groupBy("kind", "unique_key").agg(F.min(F.struct("seq", "finished_states")).alias("f"))
     joined = rows.join(first, ["kind", "unique_key"])
-    action = F.when(F.col("seq") == F.col("f.seq"), "insert").when(F.col("finished_states").eqNullSafe(F.col("f.finished_states")), "duplicate")
+    action = F.when(F.col("seq") == F.col("f.seq"), "insert").when(same_states(F.col("finished_states"), F.col("f.finished_states")), "duplicate")
     return joined.select("seq", "kind", F.col("f.seq").alias("first_seq"), action.otherwise("later").alias("action"))
 
 
@@ -41,3 +41,19 @@ def insert_many(rows: DataFrame, live: DataFrame) -> DataFrame:
     first = rows.where("unique_key IS NOT NULL").withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
     new = first.join(live.where("unique_key IS NOT NULL").select("kind", "unique_key"), ["kind", "unique_key"], "left_anti")
     return free.unionByName(new.select(*rows.columns))
+
+
+def same_states(a: Column, b: Column) -> Column:
+    """Whether two comma-separated lists of states hold the same set; two nulls do."""
+    as_set = lambda c: F.array_sort(F.array_distinct(F.split(c, ",")))
+    return as_set(a).eqNullSafe(as_set(b))
+
+
+def replace_live(rows: DataFrame, live: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """Live jobs after a replacing insert: the last incoming row of a key gives ``columns`` to its waiting job.
+
+    Running jobs keep theirs; jobs without an incoming row are not returned.
+    """
+    last = rows.groupBy("kind", "unique_key").agg(F.max_by(F.struct(*columns), "seq").alias("new"))
+    held = live.where("unique_key IS NOT NULL AND state <> 'running'").join(last, ["kind", "unique_key"])
+    return held.withColumns({c: F.col(f"new.{c}") for c in columns}).select(*live.columns)

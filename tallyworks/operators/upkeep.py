@@ -78,11 +78,11 @@ def effective_definitions(registrations: DataFrame, clients: DataFrame, as_of: s
     return registrations.join(alive, "client_id").groupBy("name").agg(newest.alias("d")).select("name", "d.client_id", "d.definition")
 
 
-def cron_slots(spark, specs: list[tuple[str, str]], start: str, end: str) -> DataFrame:
-    """(name, slot): the slots of each spec after ``start`` up to ``end``; specs are settings, computed on the driver."""
+def cron_slots(spark, specs: list[tuple[str, str]], start: str, end: str, most: int = 10_000) -> DataFrame:
+    """(name, slot): the slots of each spec after ``start`` up to ``end``, ``most`` of a spec; specs are settings, computed on the driver."""
     zone = timezone.utc
     a, b = (datetime.fromisoformat(x).replace(tzinfo=zone) for x in (start, end))
-    rows = [(name, s.replace(tzinfo=None)) for name, spec in specs for s in Cron(spec).slots(a, b)]
+    rows = [(name, s.replace(tzinfo=None)) for name, spec in specs for s in Cron(spec).slots(a, b, most)]
     return spark.createDataFrame(rows, "name string, slot timestamp_ntz")
 
 
@@ -107,3 +107,53 @@ def upsert_queues(queues: DataFrame, changes: DataFrame) -> DataFrame:
         "name", *[value(c) for c in ("global_limit", "rate_per_sec", "rate_burst")],
         F.when(same_rate, F.col("tokens")).alias("tokens"), F.coalesce("paused", F.lit(False)).alias("paused"),
     )
+
+
+def renew_leases(leases: DataFrame, renewals: DataFrame, as_of: str) -> DataFrame:
+    """Leases after renewals (id): those not past their end run for their ttl from now; late renewals change nothing."""
+    rows = leases.join(renewals.select("id", F.lit(True).alias("asked")).distinct(), "id", "left")
+    hit = F.col("asked") & (F.col("expires_at") > at(as_of))
+    ends = at(as_of) + F.make_dt_interval(days=F.col("ttl_days"))
+    return rows.withColumns(
+        {"renewed_at": F.when(hit, at(as_of)).otherwise(F.col("renewed_at")), "expires_at": F.when(hit, ends).otherwise(F.col("expires_at"))}
+    ).drop("asked")
+
+
+def expire_leases(jobs: DataFrame, due: DataFrame, as_of: str) -> DataFrame:
+    """(id, to_state) of running leased jobs whose lease is due: retryable, or discarded after the last attempt."""
+    held = jobs.where((F.col("state") == "running") & F.col("attempted_by").isNull()).join(due.select("id"), "id", "left_semi")
+    return held.select("id", F.when(F.col("attempt") >= F.col("max_attempts"), "discarded").otherwise("retryable").alias("to_state"))
+
+
+def claim_by_id(jobs: DataFrame, ids: DataFrame, as_of: str) -> DataFrame:
+    """(id, attempt, fence) of waiting, due jobs that are claimed by id and held by a lease."""
+    ready = F.col("state").isin(*WAITING) & (F.col("scheduled_at") <= at(as_of)) & (F.col("expires_at").isNull() | (F.col("expires_at") > at(as_of)))
+    rows = jobs.where(ready).join(ids.select("id").distinct(), "id", "left_semi")
+    return rows.select("id", (F.col("attempt") + 1).alias("attempt"), (F.col("fence") + 1).alias("fence"))
+
+
+def ensure_queues(queues: DataFrame, names: DataFrame) -> DataFrame:
+    """Queues and a row without limits for each new name."""
+    new = names.select("name").distinct().join(queues.select("name"), "name", "left_anti")
+    return queues.unionByName(new.withColumn("paused", F.lit(False)), allowMissingColumns=True)
+
+
+def pause_queues(queues: DataFrame, names: tuple[str, ...], paused: bool = True) -> DataFrame:
+    """Queues with those of ``names`` paused (or resumed); no names mean all."""
+    hit = F.col("name").isin(*names) if names else F.lit(True)
+    return queues.withColumn("paused", F.when(hit, F.lit(paused)).otherwise(F.col("paused")))
+
+
+def insert_slots(slots: DataFrame, last: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(new jobs, last slots after): slots not inserted yet, under the unique key ``periodic:name:slot``."""
+    new = missed_slots(slots, last)
+    key = F.concat_ws(":", F.lit("periodic"), "name", F.date_format("slot", "yyyy-MM-dd'T'HH:mm:ss"))
+    after = last.unionByName(new.select("name", F.col("slot").alias("last_slot"))).groupBy("name").agg(F.max("last_slot").alias("last_slot"))
+    return new.withColumn("unique_key", key), after
+
+
+def drop_days(finished: DataFrame, due: DataFrame) -> DataFrame:
+    """History without the (outcome, day) partitions that are due."""
+    outcome = F.when(F.col("state") == "completed", "completed").otherwise("failed")
+    rows = finished.withColumn("outcome", outcome).withColumn("day", F.to_date("finalized_at"))
+    return rows.join(F.broadcast(due.select("outcome", "day")), ["outcome", "day"], "left_anti").drop("outcome", "day")

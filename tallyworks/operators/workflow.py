@@ -59,8 +59,8 @@ def exhausted(edges: DataFrame, steps: DataFrame) -> DataFrame:
     return any_of_groups(edges, steps).where("NOT satisfied AND NOT live AND cancels").select("job_id").distinct()
 
 
-def cascade(edges: DataFrame, failed: DataFrame, rounds: int = 1000) -> DataFrame:
-    """(job_id): all dependents of failed steps over plain ``cancel`` edges.
+def cascade(edges: DataFrame, failed: DataFrame) -> DataFrame:
+    """(job_id): all dependents of failed steps over plain ``cancel`` edges, however long the chains.
 
     A frontier loop: each round joins only new steps and drops visited ones. Rounds are
     checkpointed, so plans stay short and lost executors cost one round.
@@ -68,7 +68,7 @@ def cascade(edges: DataFrame, failed: DataFrame, rounds: int = 1000) -> DataFram
     plain = edges.where((F.col("any_of").isNull()) & (F.col("on_failure") == "cancel")).select("depends_on", "job_id").checkpoint()
     frontier = failed.select("job_id").distinct().checkpoint()
     seen, reached = frontier, None
-    for _ in range(rounds):
+    while True:  # ends, as every round adds unseen steps or is the last
         step = plain.join(frontier.select(F.col("job_id").alias("depends_on")), "depends_on").select("job_id").distinct()
         frontier = step.join(seen, "job_id", "left_anti").checkpoint()
         if frontier.isEmpty():

@@ -107,14 +107,14 @@ def claim_transition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return after.select("id", "state", "attempt", "fence", "attempted_by")
 
 
-@register(f"SELECT id, CAST(priority - 1 AS INT) AS priority FROM jobs WHERE state IN {WAIT} AND priority > 1 AND scheduled_at < {NOW} - INTERVAL 864000 SECONDS", "jobs")
+@register(f"SELECT id, CAST(priority - 1 AS INT) AS priority FROM jobs WHERE state IN {WAIT} AND priority > 1 AND scheduled_at <= {NOW} - INTERVAL 864000 SECONDS", "jobs")
 def age_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return claim.aging(tables(spark, sf_dir, "jobs"), 864_000, AS_OF).select("id", "priority")
 
 
 @register(
     f"""SELECT id, 'available' AS state FROM jobs WHERE queue = 'q2' AND ordering_key = 'o58' AND state IN ('scheduled', 'retryable')
-    ORDER BY seq LIMIT 20""", "jobs",
+      AND (expires_at IS NULL OR expires_at > {NOW}) ORDER BY seq LIMIT 20""", "jobs",
 )
 def wake_ordering_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return claim.wake_lane(tables(spark, sf_dir, "jobs"), "q2", "o58", 20, AS_OF).select("id", "state")
@@ -156,7 +156,7 @@ AGE = f"(epoch_us({NOW}) - epoch_us(scheduled_at)) / 1e6"
 
 
 @register(
-    f"""SELECT queue, state, count(*) AS n, CAST(max({AGE}) FILTER (scheduled_at <= {NOW}) AS DOUBLE) AS oldest_due_seconds
+    f"""SELECT queue, state, count(*) AS n, CAST(max({AGE}) FILTER (state IN {WAIT} AND scheduled_at <= {NOW}) AS DOUBLE) AS oldest_due_seconds
     FROM jobs WHERE state NOT IN {DONE} GROUP BY queue, state""", "jobs",
 )
 def depth_by_state(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,15 +189,24 @@ def completed_last_period(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.completed_within(listing.history(tables(spark, sf_dir, "jobs")), tables(spark, sf_dir, "queues"), 2_592_000, AS_OF)
 
 
+LEADERS = f"leaders AS (SELECT 'default' AS name, CAST(7 AS BIGINT) AS client_id, {NOW} + INTERVAL 15 SECONDS AS expires_at UNION ALL SELECT 'other', 8, {NOW})"
+
+
+def _leaders(spark: SparkSession) -> DataFrame:
+    ends = claim.at(AS_OF) + F.make_dt_interval(secs=F.when(F.col("name") == "default", 15).otherwise(0))
+    return spark.createDataFrame([("default", 7), ("other", 8)], "name string, client_id long").withColumn("expires_at", ends)
+
+
 @register(
-    f"""WITH lead AS (SELECT id FROM clients WHERE expires_at > {NOW} ORDER BY started_at, id LIMIT 1)
-    SELECT c.id, hostname, c.expires_at > {NOW} AS live, l.id IS NOT NULL AS leads FROM clients c LEFT JOIN lead l ON l.id = c.id""", "clients",
+    f"""WITH {LEADERS} SELECT c.id, hostname, c.expires_at > {NOW} AS live, l.client_id IS NOT NULL AS leads FROM clients c
+    LEFT JOIN leaders l ON l.client_id = c.id AND l.name = 'default' AND l.expires_at > {NOW}""", "clients",
 )
 def client_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clients = tables(spark, sf_dir, "clients")
-    lead = clients.where(F.col("expires_at") > claim.at(AS_OF)).orderBy("started_at", "id").limit(1).select("id", F.lit(True).alias("leads"))
-    live = (F.col("expires_at") > claim.at(AS_OF)).alias("live")
-    return clients.join(F.broadcast(lead), "id", "left").select("id", "hostname", live, F.coalesce("leads", F.lit(False)).alias("leads"))
+    """Clients and whether they lead: a lease in the table of leaders decides (a fixed sample here)."""
+    now = claim.at(AS_OF)
+    lead = _leaders(spark).where((F.col("name") == "default") & (F.col("expires_at") > now)).select(F.col("client_id").alias("id"), F.lit(True).alias("leads"))
+    rows = tables(spark, sf_dir, "clients").join(F.broadcast(lead), "id", "left")
+    return rows.select("id", "hostname", (F.col("expires_at") > now).alias("live"), F.coalesce("leads", F.lit(False)).alias("leads"))
 
 
 def _listed(condition: str) -> str:
@@ -262,7 +271,7 @@ def unique_in_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return uniqueness.in_batch(tables(spark, sf_dir, "candidates"))
 
 
-INCOMING = "incoming AS (SELECT id AS seq, kind, unique_key FROM jobs WHERE unique_key IS NOT NULL AND id % 2 = 1)"
+INCOMING = "incoming AS (SELECT id AS seq, kind, unique_key FROM jobs WHERE unique_key IS NOT NULL)"
 
 
 @register(
@@ -272,7 +281,7 @@ INCOMING = "incoming AS (SELECT id AS seq, kind, unique_key FROM jobs WHERE uniq
 )
 def unique_live_conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
     jobs = tables(spark, sf_dir, "jobs")
-    incoming = jobs.where("unique_key IS NOT NULL AND id % 2 = 1").select(F.col("id").alias("seq"), "kind", "unique_key")
+    incoming = jobs.where("unique_key IS NOT NULL").select(F.col("id").alias("seq"), "kind", "unique_key")
     return uniqueness.live_conflicts(incoming, listing.live(jobs))
 
 
@@ -283,7 +292,7 @@ def unique_live_conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def unique_finished_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     jobs = tables(spark, sf_dir, "jobs")
-    incoming = jobs.where("unique_key IS NOT NULL AND id % 2 = 1").select(F.col("id").alias("seq"), "kind", "unique_key")
+    incoming = jobs.where("unique_key IS NOT NULL").select(F.col("id").alias("seq"), "kind", "unique_key")
     return uniqueness.finished_duplicates(incoming, listing.history(jobs), ("completed", "discarded"))
 
 
@@ -294,7 +303,7 @@ def unique_finished_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def insert_many(spark: SparkSession, sf_dir: str) -> DataFrame:
     jobs = tables(spark, sf_dir, "jobs")
-    incoming = jobs.where("unique_key IS NOT NULL AND id % 2 = 1").select(F.col("id").alias("seq"), "kind", "unique_key")
+    incoming = jobs.where("unique_key IS NOT NULL").select(F.col("id").alias("seq"), "kind", "unique_key")
     return uniqueness.insert_many(incoming, listing.live(jobs))
 
 
@@ -492,14 +501,17 @@ def delete_transition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(
-    f"""SELECT id, CASE WHEN state IN {DONE} AND attempt >= max_attempts THEN attempt + 1 ELSE max_attempts END AS max_attempts,
-      CASE WHEN state IN {DONE} THEN {NOW} ELSE least(scheduled_at, {NOW}) END AS scheduled_at
-    FROM jobs j WHERE batch_id < 200 AND state <> 'running' AND NOT (state IN {DONE} AND EXISTS (
-      SELECT 1 FROM jobs l WHERE l.state NOT IN {DONE} AND l.kind = j.kind AND l.unique_key = j.unique_key))""", "jobs",
+    f"""WITH asked AS (SELECT * FROM jobs WHERE batch_id < 200 AND state <> 'running'),
+      back AS (SELECT *, row_number() OVER (ORDER BY id) AS n FROM asked j WHERE state IN {DONE} AND (unique_key IS NULL OR (
+        NOT EXISTS (SELECT 1 FROM jobs l WHERE l.state NOT IN {DONE} AND l.kind = j.kind AND l.unique_key = j.unique_key)
+        AND NOT EXISTS (SELECT 1 FROM asked l WHERE l.state IN {DONE} AND l.kind = j.kind AND l.unique_key = j.unique_key AND l.id < j.id))))
+    SELECT id, CASE WHEN attempt >= max_attempts THEN attempt + 1 ELSE max_attempts END AS max_attempts, {NOW} AS scheduled_at,
+      (SELECT max(seq) FROM jobs) + n AS seq FROM back
+    UNION ALL SELECT id, max_attempts, least(scheduled_at, {NOW}) AS scheduled_at, seq FROM asked WHERE state NOT IN {DONE}""", "jobs",
 )
 def retry_transition(spark: SparkSession, sf_dir: str) -> DataFrame:
     jobs = tables(spark, sf_dir, "jobs")
-    return transitions.retry(jobs, jobs.where("batch_id < 200"), AS_OF).select("id", "max_attempts", "scheduled_at")
+    return transitions.retry(jobs, jobs.where("batch_id < 200"), AS_OF).select("id", "max_attempts", "scheduled_at", "seq")
 
 
 @register(
@@ -606,7 +618,7 @@ def progress_recorded(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def batch_finished_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     jobs = tables(spark, sf_dir, "jobs")
-    incoming = jobs.where("unique_key IS NOT NULL AND id % 2 = 1").select(F.col("id").alias("seq"), "kind", "unique_key", (F.col("id") % 50).alias("batch_id"))
+    incoming = jobs.where("unique_key IS NOT NULL").select(F.col("id").alias("seq"), "kind", "unique_key", (F.col("id") % 50).alias("batch_id"))
     found = uniqueness.finished_duplicates(incoming, listing.history(jobs), ("completed", "canceled", "discarded"))
     return compose.finished_duplicates_of_batch(found, incoming)
 
@@ -680,3 +692,6 @@ def _checkpoints(spark: SparkSession) -> str:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
+
+
+from . import lifecycle  # noqa: E402, F401 - registers the rest

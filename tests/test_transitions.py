@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tallyworks.operators import claim, compose, listing, messaging, transitions, upkeep, workflow
+from tallyworks.operators import claim, compose, listing, messaging, stats, transitions, upkeep, workflow
 from tallyworks.sources.ledger import AS_OF, SUBSCRIPTIONS, tables
 from tallyworks.sources.snapshots import Snapshots
 
@@ -126,3 +126,53 @@ def test_snapshots(spark, tmp_path):
         store.commit({"jobs": spark.range(n)})
     assert store.read("jobs").count() == 5 and store.read("jobs", 1).count() == 3
     assert store.prune(1) == [1] and store.versions() == [2]
+
+
+def test_retry_keeps_unique_keys_unique(spark):
+    """Of finished jobs of one key one returns, with a fresh seq; the others are conflicts."""
+    table = jobs(
+        spark, {"id": 1, "state": "completed", "unique_key": "u"}, {"id": 2, "state": "discarded", "unique_key": "u", "attempt": 3},
+        {"id": 3, "state": "completed"}, {"id": 4, "state": "canceled", "unique_key": "w"}, {"id": 5, "unique_key": "w"}, {"id": 9, "state": "running"},
+    )
+    back = transitions.retry(table, table, NOW)
+    assert {r.id: r.seq for r in back.collect()} == {1: 10, 3: 11, 5: 5} and ids(transitions.retry_conflicts(table, table)) == [2, 4]
+    finished = listing.history(table).join(back.select("id"), "id", "left_anti")
+    live = listing.live(table).join(back.select("id"), "id", "left_anti").unionByName(back)
+    assert transitions.violations(live, finished).count() == 0
+    sample = tables(spark, SF, "jobs").withColumn("ordering_key", F.lit(None).cast("string"))
+    back = transitions.retry(sample, sample, AS_OF).checkpoint()
+    before = {(r.rule): r.n for r in transitions.violations(listing.live(sample), listing.history(sample)).collect()}
+    live = listing.live(sample).join(back.select("id"), "id", "left_anti").unionByName(back)
+    finished = listing.history(sample).join(back.select("id"), "id", "left_anti")
+    assert {(r.rule): r.n for r in transitions.violations(live, finished).collect()} == before
+
+
+def test_aging_wakes_and_depth(spark):
+    table = jobs(
+        spark, {"id": 1, "scheduled_at": "2026-01-01 11:00:00"}, {"id": 2, "priority": 1}, {"id": 3, "queue": "r"}, {"id": 4, "state": "running"},
+        {"id": 5, "state": "scheduled", "ordering_key": "o"}, {"id": 6, "state": "retryable", "ordering_key": "o", "expires_at": "2026-01-01 11:00:00"}, {"id": 7, "state": "running", "ordering_key": "o"},
+    )
+    assert ids(claim.aging(table, 3600, NOW, "q")) == [1, 5, 6] and ids(claim.aging(table, 3601, NOW)) == [3, 5, 6]
+    assert claim.aging(table, 0, NOW).count() == 0
+    assert ids(claim.wake_lane(table, "q", "o", 10, NOW)) == [5] and ids(claim.mark_lane(table, "q", "o", NOW)) == [7]
+    due = {(r.queue, r.state): r.oldest_due_seconds for r in stats.depth(table, NOW).collect()}
+    assert due[("q", "running")] is None and due[("q", "available")] == 7200
+
+
+def test_cascades_go_down_whole_chains(spark):
+    edges = spark.createDataFrame([(1, i + 1, i, "cancel", None) for i in range(25)], "batch_id long, job_id long, depends_on long, on_failure string, any_of int")
+    gone = workflow.cascade(edges, spark.createDataFrame([(0,)], "job_id long"))
+    assert ids(gone, "job_id") == list(range(1, 26))
+
+
+def test_many_plain_subscriptions_join(spark):
+    events = spark.createDataFrame([(1, i, f"t.{i}", None) for i in range(6)], "xid long, seq long, topic string, key string")
+    many = [(f"s{i}", f"t.{i}", "k", "q", False) for i in range(300)] + [("all", "t.#", "k", "q", True)]
+    found = {(r.seq, r.subscription, r.max_attempts) for r in messaging.fan_out(events, many).collect()}
+    assert found == {(i, f"s{i}", 25) for i in range(6)} | {(i, "all", 10) for i in range(6)}
+
+
+def test_percentiles_over_partitions(spark):
+    rows = spark.range(10_001).select(F.lit("g").alias("g"), (F.col("id") * 7 % 10_001).alias("v")).union(spark.createDataFrame([("one", 5)], "g string, v long"))
+    got = {r.g: (r.n, r.p50, r.p99, r.max_value) for r in stats.nearest_index(rows, "g", "v").collect()}
+    assert got == {"g": (10_001, 5000, 9900, 10_000), "one": (1, 5, 5, 5)}
