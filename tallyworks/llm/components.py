@@ -41,13 +41,13 @@ def merged(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(u, v) links to (node, root), as a staged table: root is the smallest node of the component.
 
-    Nodes without a link do not appear; an empty table gives an empty result.
+    The first round reads ``edges`` twice, so these should come from written tables. Nodes without a link do not appear; an empty table gives an empty result.
     """
-    now = stage(edges.select("u", "v").where("u <> v").distinct(), "links")
-    before = None
+    now, spent, before = edges.select("u", "v").where("u <> v"), [], None
     for _ in range(max_rounds):
-        last, now = now, stage(_small_star(_large_star(now)), "stars")
-        release(last)
+        now = stage(_small_star(_large_star(now)), "stars")
+        release(*spent)
+        spent = [now]
         mark = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         if mark == before:
             break

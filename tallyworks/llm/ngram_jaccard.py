@@ -45,6 +45,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -242,23 +243,21 @@ def _screen(pairs: DataFrame, sketches: DataFrame, wide: DataFrame, rule: Thresh
 def _screen_wide(pairs: DataFrame, wide: DataFrame, rule: Threshold) -> DataFrame:
     """The pairs (u, v, ..., na, nb) within the Hamming bound of their long sketches; a set without one passes."""
     kept = [c for c in pairs.columns if c not in ("na", "nb")]
-    both = pairs = stage(pairs, "jaccard-short")
+    both = pairs
     for end in "uv":
         both = both.join(wide.select(F.col("sid").alias(end), F.col("wide").alias(f"w{end}")), end, "left")
-    unknown = F.col("wu").isNull() | F.col("wv").isNull()
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = len(kept)
             most = (batch.column(n).to_numpy() + batch.column(n + 1).to_numpy()) * (rule.den - rule.num)
             us, vs = batch.column(n + 2), batch.column(n + 3)
-            near = [flips(us[i].values.to_numpy(), vs[i].values.to_numpy()) * (rule.den + rule.num) <= most[i] for i in range(len(us))]
-            yield batch.select(kept).filter(pa.array(near, pa.bool_()))
+            near = np.ones(len(batch), bool)
+            for i in np.flatnonzero(pc.and_(us.is_valid(), vs.is_valid()).to_numpy(zero_copy_only=False)).tolist():
+                near[i] = flips(us[i].values.to_numpy(), vs[i].values.to_numpy()) * (rule.den + rule.num) <= most[i]
+            yield batch.select(kept).filter(pa.array(near))
 
-    long = both.where(~unknown).select(*kept, "na", "nb", "wu", "wv").mapInArrow(compare, pairs.select(*kept).schema)
-    out = stage(both.where(unknown).select(*kept).union(long), "jaccard-screened")
-    release(pairs)
-    return out
+    return stage(both.select(*kept, "na", "nb", "wu", "wv").mapInArrow(compare, pairs.select(*kept).schema), "jaccard-screened")
 
 
 def _texts(docs: DataFrame, sig: DataFrame, sids: DataFrame, rule: Threshold, key: str, text: str) -> DataFrame:
@@ -290,10 +289,10 @@ def _verify(pairs: DataFrame, texts: DataFrame, rule: Threshold) -> DataFrame:
     """
     pairs = stage(pairs, "jaccard-pairs")
     stars = pairs.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / F.lit(STAR_SPLIT)).cast("int").alias("parts"))
-    stars = stage(stars, "jaccard-centres")
-    dealt = pairs.join(small(stars, BROADCAST_ROWS), "u").withColumn("part", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int"))
+    stars = small(stars, BROADCAST_ROWS)
+    dealt = pairs.join(stars, "u").withColumn("part", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int"))
     members = texts.join(small(dealt, BROADCAST_ROWS), F.col("v") == F.col("sid")).select("u", "part", "v", F.lit(1).alias("role"), "text")
-    centres = texts.join(small(stars, BROADCAST_ROWS), F.col("u") == F.col("sid")).select(
+    centres = texts.join(stars, F.col("u") == F.col("sid")).select(
         "u", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("u").alias("v"), F.lit(0).alias("role"), "text"
     )
     together = centres.union(members).repartition("u", "part").sortWithinPartitions("u", "part", "role", "v")
@@ -315,7 +314,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, rule: Threshold) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["u", "v"])
 
     links = stage(together.mapInArrow(compare, "u long, v long"), "jaccard-links")
-    release(pairs, stars)
+    release(pairs)
     return links
 
 
@@ -385,7 +384,7 @@ def _enough(buckets: DataFrame) -> DataFrame:
 
 
 def _count_links(texts: DataFrame, found: DataFrame, sig: DataFrame, rule: Threshold) -> DataFrame:
-    """(sid, near): for each linked set the rows of all other sets that it is linked to.
+    """(node, root, near): for each linked set the rows of all other sets that it is linked to.
 
     Links stay inside components. A component is dealt into parts, and every two parts (and
     each with itself) are one block, so a set's text is sent once a part and no pair is sent.
@@ -439,9 +438,10 @@ def _count_links(texts: DataFrame, found: DataFrame, sig: DataFrame, rule: Thres
                     members.append((parts[i], sids[i], copies[i], s))
         yield told()
 
-    near = stage(blocks.mapInArrow(count, "sid long, near long").groupBy("sid").agg(F.sum("near").alias("near")), "jaccard-near")
+    near = blocks.mapInArrow(count, "sid long, near long").groupBy(F.col("sid").alias("node")).agg(F.sum("near").alias("near"))
+    counted = stage(found.join(near, "node"), "jaccard-counted")
     release(rows, large)
-    return near
+    return counted
 
 
 def link_sets(
@@ -450,12 +450,11 @@ def link_sets(
     """(node, root) of the sets that are linked to another set, and ``near`` of ``_count_links`` if asked for."""
     shared = _shared_buckets(sig, rule)
     buckets = shared.select("key", "sid")
-    sids = stage(buckets.select("sid").distinct(), "jaccard-sids")
-    drawn = limited_semi(sig, sids, "sid").select("sid", F.col("n_shingles").alias("n"), *_SKETCH, "wide").dropDuplicates(["sid"])
+    drawn = limited_semi(sig, buckets.select("sid").distinct(), "sid").select("sid", F.col("n_shingles").alias("n"), *_SKETCH, "wide").dropDuplicates(["sid"])
     drawn = stage(drawn, "jaccard-sketches")
     sketches, wide = drawn.drop("wide"), drawn.where("wide IS NOT NULL").select("sid", "wide")
-    texts = _texts(docs, sig, sids, rule, key, text)
-    used = [shared, sids, drawn]
+    texts = _texts(docs, sig, drawn.select("sid"), rule, key, text)
+    used = [shared, drawn]
 
     def own(staged: DataFrame) -> DataFrame:
         used.append(staged)
@@ -488,9 +487,7 @@ def link_sets(
         links = links.union(own(_pairwise(left, tested, texts, sketches, wide, rule, keep)))
     found = own(components(links))
     if links_too:
-        near = _count_links(texts, found, sig, rule)
-        found = stage(found.join(near.withColumnRenamed("sid", "node"), "node"), "jaccard-counted")
-        release(near)
+        found = _count_links(texts, found, sig, rule)
     else:
         used.remove(found)
     release(texts, *used)
