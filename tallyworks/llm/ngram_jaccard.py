@@ -21,8 +21,9 @@ near the upper edge, the next one. A block's 64-bit XOR is one join key.
   supported, links with sets of at most ``reach`` = c (1+t)/t - n shingles, so it leaves every
   bucket in which no set of another component is small enough and reaches far enough. Sets
   just below the threshold go this way in linear time, as edits make shingles of their own.
-* The rest is joined pairwise, behind the reach and the Hamming bound. Every two sets of a
-  bucket were then compared, excluded or are in one component, so no link is lost.
+* The rest is joined pairwise, behind the reach and the Hamming bound. Two sets that must share
+  r keys meet among all but r - 1 of each set's keys, so those of the fullest buckets are left
+  out. Every two sets that share a key were then compared, excluded or are in one component.
 * The Hamming bound is that of a sketch of 512 parity bits, and for long sets of one with at
   least four bits for each shingle that may differ (longer ones fold onto shorter ones).
 * Links are verified on the whole sets. Texts of a popular star are salted.
@@ -46,7 +47,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -449,7 +450,7 @@ def link_sets(
 ) -> DataFrame:
     """(node, root) of the sets that are linked to another set, and ``near`` of ``_count_links`` if asked for."""
     shared = _shared_buckets(sig, rule)
-    buckets = shared.select("key", "sid")
+    buckets = shared
     drawn = limited_semi(sig, buckets.select("sid").distinct(), "sid").select("sid", F.col("n_shingles").alias("n"), *_SKETCH, "wide").dropDuplicates(["sid"])
     drawn = stage(drawn, "jaccard-sketches")
     sketches, wide = drawn.drop("wide"), drawn.where("wide IS NOT NULL").select("sid", "wide")
@@ -498,7 +499,7 @@ def _pairwise(
     left: DataFrame, tested: DataFrame, texts: DataFrame, sketches: DataFrame, wide: DataFrame, rule: Threshold, keep: Callable[[DataFrame, str], DataFrame]
 ) -> DataFrame:
     """Links between components that share an open bucket, of pairs that are not tested yet."""
-    left = _supported(left, texts, rule, keep)
+    left = _rarest(_supported(left, texts, rule, keep))
     left = keep(left.join(small(sketches, BROADCAST_ROWS).drop("n"), "sid"), "jaccard-left")
     a, b = left.alias("a"), left.alias("b")
     crossing = (F.col("a.key") == F.col("b.key")) & (F.col("a.sid") < F.col("b.sid")) & (F.col("a.comp") != F.col("b.comp"))
@@ -511,8 +512,23 @@ def _pairwise(
     return links
 
 
+def _rarest(left: DataFrame) -> DataFrame:
+    """``left`` (key, sid, need, ...) without the rows at which no wanted pair needs to meet.
+
+    Two sets that may still link share ``need`` keys of a group or more, all of them open. The
+    first key that they share, in one order of all keys, is among the first have - need + 1 of
+    each, of ``have`` keys that the set has there. Keys of few sets come first.
+    """
+    sizes = left.groupBy("key").agg(F.count(F.lit(1)).alias("sets"))
+    rows = left.join(sizes, "key").withColumn("grp", F.col("key").bitwiseAND(F.lit((1 << GROUP_BITS) - 1)))
+    own = Window.partitionBy("sid", "grp")
+    at = F.row_number().over(own.orderBy("sets", "key"))
+    rows = rows.withColumn("at", at).withColumn("have", F.count(F.lit(1)).over(own))
+    return rows.where("at <= have - need + 1").select(*left.columns)
+
+
 def _supported(left: DataFrame, texts: DataFrame, rule: Threshold, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
-    """The rows (key, sid, comp, n, reach) of open buckets whose sets may still link to another component.
+    """The rows (key, sid, need, comp, n, reach) of open buckets whose sets may still link to another component.
 
     Linear in the shingles of the sets, whatever the size of a bucket: no two sets meet here.
     """
@@ -556,8 +572,8 @@ def _supported(left: DataFrame, texts: DataFrame, rule: Threshold, keep: Callabl
 
 
 def _open(buckets: DataFrame, root: DataFrame) -> DataFrame:
-    """(key, sid, comp) of the keys whose sets are in several components."""
-    mixed = buckets.join(small(root), F.col("sid") == F.col("node"), "left").select("key", "sid", F.coalesce("root", "sid").alias("comp"))
+    """(key, sid, need, comp) of the keys whose sets are in several components."""
+    mixed = buckets.join(small(root), F.col("sid") == F.col("node"), "left").select("key", "sid", "need", F.coalesce("root", "sid").alias("comp"))
     split = mixed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key")
     split = stage(split, "jaccard-split-keys")
     rows = stage(limited_semi(mixed, split, "key"), "jaccard-split")
