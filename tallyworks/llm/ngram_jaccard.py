@@ -331,10 +331,11 @@ def _bitmap(keys: DataFrame) -> np.ndarray:
 
 def needed(n: np.ndarray, group: np.ndarray, kept: np.ndarray, rule: Threshold) -> np.ndarray:
     """Keys that a set of ``n`` shingles shares with any set it links to, of the ``kept`` ones of a group."""
-    edges, _, _ = bands(rule)
+    edges, _, spare = bands(rule)
     tops = np.append(edges[1:] - 1, edges[-1])
     other = np.minimum(tops[group // SEEDS], n * rule.den // rule.num)
-    return np.maximum(1, kept - (n + other) * (rule.den - rule.num) // (rule.den + rule.num))
+    blank = np.where(group % SEEDS == SEEDS - 1, spare[group // SEEDS], 0)  # keys of empty blocks that only one of two sets holds
+    return np.maximum(1, kept - blank - (n + other) * (rule.den - rule.num) // (rule.den + rule.num))
 
 
 def _shared_buckets(sig: DataFrame, rule: Threshold) -> DataFrame:
