@@ -15,7 +15,8 @@ near the upper edge, the next one. A block's 64-bit XOR is one join key.
   difference that its size and band allow. A set that shares fewer keys with all others
   together leaves its buckets before any pair is formed.
 * Candidates are stars, not pairs: each set of a bucket meets the bucket's smallest set. Links contract into components; buckets that
-  hold several of these meet around other members for a few rounds.
+  hold several of these meet around the member that shares most keys with the others: near copies
+  of one text are closer to it than to each other, so few of them stay apart.
 * What then still holds several components is thinned by support: only shingles that sets of
   two components hold can be in a link that is still wanted. A set of n shingles, c of them
   supported, links with sets of at most ``reach`` = c (1+t)/t - n shingles, so it leaves every
@@ -67,7 +68,7 @@ BROADCAST_ROWS = 300_000
 BITMAP_BITS = 26
 #: Sets and shingles, on average, in one part of a component whose links are counted.
 PART_SETS, PART_SHINGLES = 500, 500_000
-#: Rounds of stars around other members, and of thinning by support, before the pairwise round.
+#: Rounds of stars around other members (the first around central ones), and of thinning by support, before the pairwise round.
 HUB_ROUNDS, SUPPORT_ROUNDS = 1, 3
 
 
@@ -475,7 +476,7 @@ def link_sets(
         buckets = own(_open(buckets, root))
         if buckets.isEmpty():
             break
-        hubs = buckets.groupBy("key").agg(F.min_by(F.struct("sid", "comp"), F.xxhash64("sid", "key", F.lit(turn))).alias("hub"))
+        hubs = _central(buckets) if turn == 0 else buckets.groupBy("key").agg(F.min_by(F.struct("sid", "comp"), F.xxhash64("sid", "key", F.lit(turn))).alias("hub"))
         met = buckets.join(hubs, "key").where(F.col("comp") != F.col("hub.comp"))
         pairs = met.select(F.least("sid", "hub.sid").alias("u"), F.greatest("sid", "hub.sid").alias("v")).distinct()
         pairs = own(_screen(pairs, sketches, wide, rule))
@@ -572,6 +573,18 @@ def _supported(left: DataFrame, texts: DataFrame, rule: Threshold, keep: Callabl
     return left
 
 
+def _central(buckets: DataFrame) -> DataFrame:
+    """(key, hub) of each bucket: the member that meets most other sets, summed over its open keys of the group.
+
+    Near copies of one text differ from it less than from each other, and the text itself has the
+    key that most of them have at every block. Linear: no two sets meet here.
+    """
+    rows = buckets.select("key", "sid", "comp", F.col("key").bitwiseAND(F.lit((1 << GROUP_BITS) - 1)).alias("grp"))
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("sets"))
+    met = rows.join(sizes, "key").groupBy("sid", "grp").agg(F.sum("sets").alias("met"))
+    return rows.join(met, ["sid", "grp"]).groupBy("key").agg(F.max_by(F.struct("sid", "comp"), F.struct("met", "sid")).alias("hub"))
+
+
 def _open(buckets: DataFrame, root: DataFrame) -> DataFrame:
     """(key, sid, need, comp) of the keys whose sets are in several components."""
     mixed = buckets.join(small(root), F.col("sid") == F.col("node"), "left").select("key", "sid", "need", F.coalesce("root", "sid").alias("comp"))

@@ -85,6 +85,24 @@ def test_jaccard_keeps_one_of_repeated_keys(spark):
     assert Counter(got) == Counter([(1, "a"), (1, "b"), (2, "c"), (3, "d"), (5, "e"), (None, "a")])
 
 
+def test_jaccard_copies_meet_at_the_text_that_they_are_of(spark, monkeypatch):
+    """Copies that only their text links are joined to it by a star, not compared with each other."""
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(150)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 301):
+        copy = list(base)
+        for at in rng.sample(range(0, 150, 10), 3):
+            copy[at + 5] = f"edit{i}"
+        rows.append((i, " ".join(copy)))
+    left = []
+    pairwise = ngram_jaccard._pairwise
+    monkeypatch.setattr(ngram_jaccard, "_pairwise", lambda *a: left.append(a[0].count()) or pairwise(*a))
+    got = ngram_jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows, 5, 80, 100)
+    assert {r.component_id for r in got} == {0} and not left
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(1, 400), st.floats(0, 0.3), st.integers(0, 10**6))
 def test_signatures_never_miss(size, change, seed):
